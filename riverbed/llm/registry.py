@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op6_bpe_forced_boundaries
+from .langid import op5_language_centroids
+from .quality import op1_quality_bradley_terry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_bradley_terry": op1_quality_bradley_terry,
+    "op5_language_centroids": op5_language_centroids,
     "op6_bpe_forced_boundaries": op6_bpe_forced_boundaries,
 }
 
