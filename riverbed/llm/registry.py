@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op6_bpe_forced_boundaries
+from .jaccard import op9_jaccard_join
 from .langid import op5_language_centroids
 from .quality import op1_quality_bradley_terry
 
@@ -14,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_bradley_terry": op1_quality_bradley_terry,
     "op5_language_centroids": op5_language_centroids,
     "op6_bpe_forced_boundaries": op6_bpe_forced_boundaries,
+    "op9_jaccard_join": op9_jaccard_join,
 }
 
 #: DuckDB SQL by query name.
