@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op6_bpe_forced_boundaries
 from .jaccard import op9_jaccard_join
 from .langid import op5_language_centroids
+from .mixing import op10_mixing_soft_membership
 from .quality import op1_quality_bradley_terry
+from .secret_scan import op4_secret_forest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_bradley_terry": op1_quality_bradley_terry,
+    "op4_secret_forest": op4_secret_forest,
     "op5_language_centroids": op5_language_centroids,
     "op6_bpe_forced_boundaries": op6_bpe_forced_boundaries,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_mixing_soft_membership": op10_mixing_soft_membership,
 }
 
 #: DuckDB SQL by query name.
