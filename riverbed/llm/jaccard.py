@@ -1,8 +1,8 @@
 """Exact n-gram Jaccard self-join with set-relation skipping.
 
-Any two sets of the wanted similarity share one of the first few shingles of each (a prefix) in any fixed order of all shingles. The order
-puts shingles that occur often last, so prefixes are rare ones. Prefix entries go to an inverted index; its lists are sorted by set size
-and position, and blocks that cannot reach the wanted overlap are skipped without looking at their entries. Long lists belong to families
+Any two sets of the wanted similarity share a certain number of the first few shingles of each (a prefix) in any fixed order of all
+shingles. The order puts shingles that occur often last, so prefixes are rare ones. Prefix entries go to an inverted index; its lists are
+sorted by set size and position, and blocks that cannot reach the wanted overlap are skipped without looking at their entries. Long lists belong to families
 of similar sets: there, a few leading sets are compared with all others first; the answers found for a leader stand for the sets it is
 linked with, and only pairs that these answers leave open are compared afterwards. Equal sets are joined once, through a signature.
 """
@@ -28,6 +28,8 @@ class Params:
     words: int = 5
     #: Similarity in hundredths.
     percent: int = 80
+    #: Prefix shingles that a pair must share; prefixes are so much longer that no similar pair shares fewer.
+    shared: int = 16
     #: A shingle found in so many sets counts as frequent; the order needs the most frequent ones only, and is exact with any of them.
     often: int = 8
     table_of_frequent: int = 100_000
@@ -45,8 +47,13 @@ def least_overlap(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def prefix_length(n, percent: int):
-    return n + percent * -n // 100 + 1
+def prefix_length(n, p: Params):
+    return min(n, n + p.percent * -n // 100 + p.shared)
+
+
+def needed(na, nb, p: Params):
+    """Prefix shingles that sets of sizes na and nb share if they are similar."""
+    return np.minimum(p.shared, least_overlap(na, nb, p.percent))
 
 
 def read_sets(batches, k: int, most: int = 1_500_000):
@@ -94,7 +101,7 @@ def index_entries(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buck
                     continue
                 at = np.minimum(np.searchsorted(known, h), max(0, known.size - 1))
                 weight = np.where(known[at] == h, count[at], 0) if known.size else np.zeros(h.size, np.int64)
-                take = np.lexsort((h, weight))[: prefix_length(h.size, p.percent)]
+                take = np.lexsort((h, weight))[: prefix_length(h.size, p)]
                 hs.append(h[take])
                 ss.append(np.full(take.size, sigs[k]))
                 ns.append(np.full(take.size, h.size))
@@ -139,8 +146,8 @@ def fits(na, pa_, nb, pb, percent: int):
     return (100 * low >= percent * high) & (1 + np.minimum(pa_, pb) + np.minimum(na - pa_ - 1, nb - pb - 1) >= least_overlap(na, nb, percent))
 
 
-def list_pairs(s, n, pos, i, j, percent: int, block: int = 512):
-    """Pairs (x, y) of positions, x from i, y from j, that fit. s, n, pos are sorted by n; blocks of j that are too large or small are skipped."""
+def list_pairs(n, pos, i, j, percent: int, block: int = 512):
+    """Pairs (x, y) of positions, x from i, y from j, that fit. n and pos are sorted by n; blocks of j that are too large or small are skipped."""
     for b in range(0, len(j), block):
         part = j[b : b + block]
         rows = i[(100 * n[i] >= percent * n[part[0]]) & (percent * n[i] <= 100 * n[part[-1]])]
@@ -149,10 +156,26 @@ def list_pairs(s, n, pos, i, j, percent: int, block: int = 512):
             yield rows[x], part[y]
 
 
+FOUND = "kind int, bucket long, a long, b long, n long, pos long"
+
+
+def pairs_table(kind: int, bucket: int, a, b, need) -> pa.Table:
+    """Distinct pairs (low, high) of sigs with how often each came up (n) and how often it has to (pos)."""
+    keep = a != b
+    low, high, need = np.minimum(a, b)[keep], np.maximum(a, b)[keep], need[keep]
+    order = np.lexsort((high, low))
+    low, high, need = low[order], high[order], need[order]
+    at = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))) if low.size else np.zeros(0, np.int64)
+    m = at.size
+    return pa.table({"kind": pa.array(np.full(m, kind, np.int32)), "bucket": pa.array(np.full(m, bucket, np.int64)), "a": pa.array(low[at]), "b": pa.array(high[at]), "n": pa.array(np.diff(np.append(at, low.size))), "pos": pa.array(need[at])})
+
+
 def candidates(entries: DataFrame, p: Params) -> DataFrame:
-    """kind 0: pairs (a < b) of sigs; kind 1: a is the list's shingle, b the sig, n and pos an entry of a long list."""
+    """kind 0: pairs of short lists; kind 2: pairs with a leader of a long list (see pairs_table); kind 1: the entries of long lists, a
+    the list's shingle, b the sig."""
 
     def run(key, tbl):
+        bucket = key[0].as_py()
         h, s, n, pos = unpack(tbl.column("entries").to_pylist())
         order = np.lexsort((s, pos, n, h))
         h, s, n, pos = h[order], s[order], n[order], pos[order]
@@ -160,30 +183,28 @@ def candidates(entries: DataFrame, p: Params) -> DataFrame:
         h, s, n, pos = h[new], s[new], n[new], pos[new]
         begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         length = np.diff(np.append(begin, h.size))
-        lows, highs, long = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+        none = np.zeros(0, np.int64)
+        short, led, long = [(none, none)], [(none, none)], [none]
         for size in range(2, p.family + 1):  # all lists of one length at a time
             rows = begin[length == size]
             if rows.size:
                 x, y = np.triu_indices(size, 1)
                 x, y = (rows[:, None] + x).ravel(), (rows[:, None] + y).ravel()
                 keep = fits(n[x], pos[x], n[y], pos[y], p.percent)
-                lows.append(s[x[keep]])
-                highs.append(s[y[keep]])
+                short.append((x[keep], y[keep]))
         for b, size in zip(begin[length > p.family], length[length > p.family], strict=True):
             at = np.arange(b, b + size)
             long.append(at)
-            lead = leaders_of(s[at], n[at], p)
-            for x, y in list_pairs(s, n, pos, at[lead], at, p.percent):
-                lows.append(s[x])
-                highs.append(s[y])
-        a, b = np.concatenate(lows), np.concatenate(highs)
-        keep = a != b
-        pairs = np.unique(np.stack((np.minimum(a, b)[keep], np.maximum(a, b)[keep]), 1), axis=0)
-        at = np.concatenate(long) if long else np.zeros(0, np.int64)
-        m, r = len(pairs), at.size
-        return pa.table({"kind": pa.array(np.repeat([0, 1], [m, r]).astype(np.int32)), "bucket": pa.array(np.full(m + r, key[0].as_py())), "a": pa.array(np.append(pairs[:, 0], h[at].view(np.int64))), "b": pa.array(np.append(pairs[:, 1], s[at])), "n": pa.array(np.append(np.zeros(m, np.int64), n[at])), "pos": pa.array(np.append(np.zeros(m, np.int64), pos[at]))})
+            led += list_pairs(n, pos, at[leaders_of(s[at], n[at], p)], at, p.percent)
+        out = []
+        for kind, found in ((0, short), (2, led)):
+            x, y = (np.concatenate(z) for z in zip(*found, strict=True))
+            out.append(pairs_table(kind, bucket, s[x], s[y], needed(n[x], n[y], p)))
+        at = np.concatenate(long)
+        out.append(pa.table({"kind": pa.array(np.ones(at.size, np.int32)), "bucket": pa.array(np.full(at.size, bucket, np.int64)), "a": pa.array(h[at].view(np.int64)), "b": pa.array(s[at]), "n": pa.array(n[at]), "pos": pa.array(pos[at])}))
+        return pa.concat_tables(out)
 
-    return entries.groupBy("bucket").applyInArrow(run, "kind int, bucket long, a long, b long, n long, pos long")
+    return entries.groupBy("bucket").applyInArrow(run, FOUND)
 
 
 def leaders_of(s: np.ndarray, n: np.ndarray, p: Params) -> np.ndarray:
@@ -197,24 +218,31 @@ def leaders_of(s: np.ndarray, n: np.ndarray, p: Params) -> np.ndarray:
 
 
 def open_pairs(long: DataFrame, labels: DataFrame, p: Params) -> DataFrame:
-    """Pairs of long lists whose sets no leader's answers have joined so far."""
+    """Pairs of long lists whose sets no leader's answers have joined so far (kind 3, see pairs_table)."""
 
     def run(key, tbl):
         s, n, pos, label = (tbl.column(c).to_numpy() for c in ("b", "n", "pos", "label"))
         order = np.lexsort((pos, n))
         s, n, pos, label = s[order], n[order], pos[order], label[order]
-        found = [np.zeros((0, 2), np.int64)]
+        none = np.zeros(0, np.int64)
+        found = [(none, none)]
         if (label != label[0]).any():
             every = np.arange(s.size)
             for k in range(0, s.size, 512):
-                for x, y in list_pairs(s, n, pos, every[k : k + 512], every[k:], p.percent):
-                    keep = label[x] != label[y]
-                    found.append(np.stack((np.minimum(s[x[keep]], s[y[keep]]), np.maximum(s[x[keep]], s[y[keep]])), 1))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+                for x, y in list_pairs(n, pos, every[k : k + 512], every[k:], p.percent):
+                    keep = (label[x] != label[y]) & (x < y)
+                    found.append((x[keep], y[keep]))
+        x, y = (np.concatenate(z) for z in zip(*found, strict=True))
+        return pairs_table(3, 0, s[x], s[y], needed(n[x], n[y], p))
 
     marked = long.join(labels, long.b == labels.id, "left").select("bucket", "a", "b", "n", "pos", F.coalesce("label", "b").alias("label"))
-    return marked.groupBy("bucket", "a").applyInArrow(run, "a long, b long").distinct()
+    return marked.groupBy("bucket", "a").applyInArrow(run, FOUND)
+
+
+def shared_enough(found: DataFrame) -> DataFrame:
+    """Pairs that came up often enough over all lists; pairs with a leader need no count, as not every list has the same leaders."""
+    sums = found.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("pos").alias("need"), F.max("kind").alias("kind"))
+    return sums.where("n >= need or kind = 2")
 
 
 def wanted_bits(ids: DataFrame, n: int) -> tuple[np.ndarray, int]:
@@ -229,7 +257,7 @@ def wanted_bits(ids: DataFrame, n: int) -> tuple[np.ndarray, int]:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int, p: Params) -> DataFrame:
-    """(sig, shingles) for wanted (sig, key): key is the id of some document with that set."""
+    """(sig, shingles) for wanted (sig, key): key is the id of some document with that set. Some other sets, and some twice, come too."""
     bloom, bits = wanted_bits(wanted, n)
     shared = docs.sparkSession.sparkContext.broadcast(bloom)
 
@@ -244,7 +272,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int, p: Params) -> DataFrame:
 
     key = F.coalesce("doc_id", F.lit(NO_ID))
     found = docs.select("doc_id", "text", *[F.pmod(F.xxhash64(key, F.lit(k)), F.lit(bits)).alias(f"s{k}") for k in range(3)]).mapInArrow(run, "sig long, shingles binary")
-    return found.join(wanted.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
+    return found
 
 
 def verify(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
@@ -285,16 +313,17 @@ def jaccard_components(docs: DataFrame, p: Params = Params()) -> DataFrame:
     total = rows.agg(F.sum(F.col("n") * (100 - p.percent) / 100 + 1)).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = materialize(candidates(index_entries(docs, frequent, max(parts, int(total) // p.bucket), p), p), "candidates")
-    pairs = found.where("kind = 0").select("a", "b").distinct()
+    pairs = materialize(shared_enough(found.where("kind <> 1")).select("a", "b"), "pairs")
     long = found.where("kind = 1").drop("kind")
     classes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first"))
-    members = found.where("kind = 0").select(F.explode(F.array("a", "b")).alias("sig")).union(long.select(F.col("b").alias("sig"))).distinct()
+    members = pairs.select(F.explode(F.array("a", "b")).alias("sig")).union(long.select(F.col("b").alias("sig"))).distinct()
     wanted = materialize(members.join(classes, "sig").select("sig", F.coalesce("first", F.lit(NO_ID)).alias("key")), "members")
     sets = materialize(sets_of(docs, wanted, wanted.count(), p), "sets")
     links = materialize(verify(pairs, sets, p), "links")
     labels = components(links)
     if not long.isEmpty():
-        more = materialize(verify(open_pairs(long, labels, p), sets, p), "links")
+        left = shared_enough(found.where("kind = 0").unionByName(materialize(open_pairs(long, labels, p), "open")))
+        more = materialize(verify(left.where("kind = 3").select("a", "b"), sets, p), "links")
         if not more.isEmpty():
             labels = components(links.unionByName(more))
     named = classes.join(labels, classes.sig == labels.id, "left").select("sig", F.coalesce("label", "sig").alias("label"), "first")
