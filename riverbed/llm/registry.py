@@ -10,11 +10,13 @@ from .bpe import op6_bpe_forced_boundaries
 from .jaccard import op9_jaccard_join
 from .langid import op5_language_centroids
 from .mixing import op10_mixing_soft_membership
+from .pii import op3_pii_weak_supervision
 from .quality import op1_quality_bradley_terry
 from .secret_scan import op4_secret_forest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_bradley_terry": op1_quality_bradley_terry,
+    "op3_pii_weak_supervision": op3_pii_weak_supervision,
     "op4_secret_forest": op4_secret_forest,
     "op5_language_centroids": op5_language_centroids,
     "op6_bpe_forced_boundaries": op6_bpe_forced_boundaries,
