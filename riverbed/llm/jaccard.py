@@ -40,6 +40,8 @@ class Params:
     part: int = 20_000
     #: Index entries a bucket holds on average.
     bucket: int = 200_000
+    #: Sets that meet in one task when candidate pairs are looked at.
+    together: int = 1_000
 
 
 def least_overlap(a, b, percent: int):
@@ -268,30 +270,71 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int, p: Params) -> DataFrame:
             hit = np.flatnonzero(np.logical_and.reduce([(words[x >> 5] >> (x & 31).astype(np.uint32)) & 1 for x in spots]))
             for b in range(0, hit.size, 256):
                 sets = [shingler.shingles(t.as_py()) for t in batch.column(1).take(pa.array(hit[b : b + 256]))]
-                yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sig", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.int64()), pa.array([pack(s) for s in sets], pa.binary())], ["sig", "shingles"])
 
     key = F.coalesce("doc_id", F.lit(NO_ID))
     found = docs.select("doc_id", "text", *[F.pmod(F.xxhash64(key, F.lit(k)), F.lit(bits)).alias(f"s{k}") for k in range(3)]).mapInArrow(run, "sig long, shingles binary")
     return found
 
 
-def verify(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
-    """Those pairs (a, b) of sigs that are similar."""
+def pack(s: np.ndarray) -> bytes:
+    """The upper six bytes of each shingle: two different ones of a pair of sets agree in them about once in 10**9 pairs."""
+    return s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
 
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                both = np.sort(np.concatenate((x, y)))
-                shared = int((both[1:] == both[:-1]).sum())
-                if 100 * shared >= p.percent * (x.size + y.size - shared):
-                    keep.append(k)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in (0, 1)], ["a", "b"])
 
-    one = sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+def unpack_set(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view(U64).ravel()
+
+
+def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
+    """Links (a, b) among pairs of sigs, enough of them to join all that are similar.
+
+    Sets that candidate pairs connect meet in one task, a bundle of small families or a pair of parts of a large one, so each set is sent
+    once and not with every pair. Pairs are taken by how much they share; one whose sets earlier answers have joined is not looked at.
+    """
+    labels = components(pairs, "families")
+    sizes = labels.groupBy("label").agg(F.count("*").alias("m"))
+    members = labels.join(sizes, "label").join(classes, F.col("id") == F.col("sig"))
+    members = materialize(members.select("sig", F.coalesce("first", F.lit(NO_ID)).alias("key"), F.col("label").alias("comp"), "m"), "members")
+    n = members.count()
+    parts = F.ceil(F.col("m") / p.together).cast("int")
+    own = lambda c: F.pmod(F.xxhash64(c, F.lit(3)), parts).cast("int")
+    cell = F.when(F.col("m") <= p.together, F.pmod(F.xxhash64("comp"), F.lit(1 + n // p.together))).otherwise(F.xxhash64("comp", F.least("i", "j"), F.greatest("i", "j"))).alias("cell")
+    sets = sets_of(docs, members.select("sig", "key"), n, p)
+    place = members.select(F.col("sig").alias("of"), "comp", "m", own("sig").alias("i"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("j")).select("of", cell)
+    held = sets.join(place, sets.sig == place.of).select("cell", "sig", "shingles")
+    at = pairs.join(members.select(F.col("sig").alias("of"), "comp", "m"), F.col("a") == F.col("of"))
+    asked = at.select("a", "b", "n", "comp", "m", own("a").alias("i"), own("b").alias("j")).select(cell.alias("at"), "a", "b", "n")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        blobs = dict(zip(left.column("sig").to_pylist(), left.column("shingles"), strict=True))
+        root = {k: k for k in blobs}
+
+        def find(k):
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        sets: dict[int, np.ndarray] = {}
+        out = ([], [])
+        for x, y in zip(*(right.sort_by([("n", "descending"), ("a", "ascending"), ("b", "ascending")]).column(c).to_pylist() for c in ("a", "b")), strict=True):
+            if x not in root or y not in root or find(x) == find(y):
+                continue
+            for k in (x, y):
+                if k not in sets:
+                    sets[k] = unpack_set(blobs[k].as_py())
+            both = np.sort(np.concatenate((sets[x], sets[y])))
+            shared = int((both[1:] == both[:-1]).sum())
+            if 100 * shared >= p.percent * (both.size - shared):
+                root[find(x)] = find(y)
+                out[0].append(x)
+                out[1].append(y)
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    return held.groupBy("cell").cogroup(asked.groupBy("at")).applyInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -313,19 +356,16 @@ def jaccard_components(docs: DataFrame, p: Params = Params()) -> DataFrame:
     total = rows.agg(F.sum(F.col("n") * (100 - p.percent) / 100 + 1)).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = materialize(candidates(index_entries(docs, frequent, max(parts, int(total) // p.bucket), p), p), "candidates")
-    pairs = materialize(shared_enough(found.where("kind <> 1")).select("a", "b"), "pairs")
+    pairs = materialize(shared_enough(found.where("kind <> 1")).select("a", "b", "n"), "pairs")
     long = found.where("kind = 1").drop("kind")
-    classes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first"))
-    members = pairs.select(F.explode(F.array("a", "b")).alias("sig")).union(long.select(F.col("b").alias("sig"))).distinct()
-    wanted = materialize(members.join(classes, "sig").select("sig", F.coalesce("first", F.lit(NO_ID)).alias("key")), "members")
-    sets = materialize(sets_of(docs, wanted, wanted.count(), p), "sets")
-    links = materialize(verify(pairs, sets, p), "links")
+    classes = materialize(rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first")), "classes")
+    links = materialize(verify(pairs, docs, classes, p), "links")
     labels = components(links)
     if not long.isEmpty():
         left = shared_enough(found.where("kind = 0").unionByName(materialize(open_pairs(long, labels, p), "open")))
-        more = materialize(verify(left.where("kind = 3").select("a", "b"), sets, p), "links")
-        if not more.isEmpty():
-            labels = components(links.unionByName(more))
+        left = materialize(left.where("kind = 3").select("a", "b", "n"), "pairs")
+        if not left.isEmpty():
+            labels = components(links.unionByName(verify(left, docs, classes, p)))
     named = classes.join(labels, classes.sig == labels.id, "left").select("sig", F.coalesce("label", "sig").alias("label"), "first")
     lowest = named.groupBy("label").agg(F.min("first").alias("component_id"))
     by_sig = named.join(lowest, "label").select("sig", "component_id")
