@@ -10,6 +10,7 @@ from .bpe import op6_bpe_forced_boundaries
 from .embedding_dedup import op2_embedding_nn_descent
 from .jaccard import op9_jaccard_join
 from .langid import op5_language_centroids
+from .license_scan import op8_license_sentences
 from .mixing import op10_mixing_soft_membership
 from .pii import op3_pii_weak_supervision
 from .quality import op1_quality_bradley_terry
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_centroids": op5_language_centroids,
     "op6_bpe_forced_boundaries": op6_bpe_forced_boundaries,
     "op7_ball_tree_top5": op7_ball_tree_top5,
+    "op8_license_sentences": op8_license_sentences,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_mixing_soft_membership": op10_mixing_soft_membership,
 }
