@@ -21,6 +21,7 @@ from .graph import components
 from .shingles import U64, mix, of_worker, signature
 
 NO_ID = -(2**63)
+LEAST_BITS = 10
 
 
 @dataclass(frozen=True)
@@ -36,6 +37,8 @@ class Params:
     #: Lists above this length are taken for families.
     family: int = 24
     leaders: int = 8
+    #: Long lists that each set knows of when pairs are told of once.
+    first_lists: int = 8
     #: Entries of a list that one task takes; longer lists are dealt in pairs of parts.
     part: int = 20_000
     #: Index entries a bucket holds on average.
@@ -75,18 +78,38 @@ def read_sets(batches, k: int, most: int = 1_500_000):
         yield ids, sets, sigs
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """A bit for each value of the upper bits of the shingles; 1024 bits, or half as many again as the set has shingles, or up to twice that."""
+    k = max(LEAST_BITS, int(np.ceil(np.log2(1.5 * s.size)))) if s.size else LEAST_BITS
+    bits = np.zeros(1 << k, np.uint8)
+    bits[(s >> U64(64 - k)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def most_shared(x: bytes, nx: int, y: bytes, ny: int) -> int:
+    """No more shingles than this can be shared by two sets: a bit that one sketch alone has stands for a shingle of that set alone."""
+    a, b = (np.unpackbits(np.frombuffer(z, np.uint8)) for z in (x, y))
+    while a.size > b.size:
+        a = a.reshape(-1, 2).any(1)
+    while b.size > a.size:
+        b = b.reshape(-1, 2).any(1)
+    a, b = a.astype(bool), b.astype(bool)
+    both = int((a & b).sum())
+    return min(nx - int(a.sum()) + both, ny - int(b.sum()) + both)
+
+
 def describe(docs: DataFrame, p: Params) -> DataFrame:
-    """kind 0: doc_id, n, sig of every row; kind 1: sig holds a shingle found in n >= 4 different sets of one block."""
+    """kind 0: doc_id, n, sig and sketch of every row; kind 1: sig holds a shingle found in n >= 4 different sets of one block."""
 
     def run(batches):
         for ids, sets, sigs in read_sets(batches, p.words):
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), pa.array(ids, pa.int64()), pa.array([s.size for s in sets], pa.int64()), pa.array(sigs, pa.int64())], ["kind", "doc_id", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), pa.array(ids, pa.int64()), pa.array([s.size for s in sets], pa.int64()), pa.array(sigs, pa.int64()), pa.array(map(sketch, sets), pa.binary())], ["kind", "doc_id", "n", "sig", "sketch"])
             once = [sets[k] for k in np.unique(np.array(sigs), return_index=True)[1]]
             h, n = np.unique(np.concatenate(once), return_counts=True)
             h, n = h[n >= 4], n[n >= 4]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(h.size, np.int32)), pa.nulls(h.size, pa.int64()), pa.array(n.astype(np.int64)), pa.array(h.view(np.int64))], ["kind", "doc_id", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(h.size, np.int32)), pa.nulls(h.size, pa.int64()), pa.array(n.astype(np.int64)), pa.array(h.view(np.int64)), pa.nulls(h.size, pa.binary())], ["kind", "doc_id", "n", "sig", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, n long, sig long")
+    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, n long, sig long, sketch binary")
 
 
 def index_entries(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets: int, p: Params) -> DataFrame:
@@ -219,8 +242,21 @@ def leaders_of(s: np.ndarray, n: np.ndarray, p: Params) -> np.ndarray:
     return np.concatenate(out)
 
 
-def open_pairs(long: DataFrame, labels: DataFrame, p: Params) -> DataFrame:
-    """Pairs of long lists whose sets no leader's answers have joined so far (kind 3, see pairs_table)."""
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches at 1024 bits each, as rows of 0 and 1."""
+    out = np.zeros((len(sketches), 1 << LEAST_BITS), np.float32)
+    for k, z in enumerate(sketches):
+        out[k] = np.unpackbits(np.frombuffer(z, np.uint8)).reshape(1 << LEAST_BITS, -1).max(1)
+    return out
+
+
+def open_pairs(long: DataFrame, labels: DataFrame, classes: DataFrame, p: Params, block: int = 512) -> DataFrame:
+    """Pairs of long lists whose sets no leader's answers have joined so far (kind 3, see pairs_table) and whose sketches leave room.
+
+    A list is taken in pairs of blocks, sorted by size; blocks too far apart in size are skipped, and the sketches of two blocks are
+    compared in one product. A pair is told of once and not by every list it shares: each set knows the few of its long lists that come
+    first by a hash, and where two sets know of a common one, only the first such list tells.
+    """
 
     def run(key, tbl):
         s, n, pos, label = (tbl.column(c).to_numpy() for c in ("b", "n", "pos", "label"))
@@ -229,15 +265,35 @@ def open_pairs(long: DataFrame, labels: DataFrame, p: Params) -> DataFrame:
         none = np.zeros(0, np.int64)
         found = [(none, none)]
         if (label != label[0]).any():
-            every = np.arange(s.size)
-            for k in range(0, s.size, 512):
-                for x, y in list_pairs(n, pos, every[k : k + 512], every[k:], p.percent):
-                    keep = (label[x] != label[y]) & (x < y)
-                    found.append((x[keep], y[keep]))
+            blobs, lid = tbl.column("sketch").to_pylist(), tbl.column("lid")[0].as_py()
+            firsts = np.full((s.size, p.first_lists), np.iinfo(np.int64).max)
+            for k, z in enumerate(tbl.column("firsts").take(pa.array(order)).to_pylist()):
+                firsts[k, : len(z)] = z
+            bits = lambda i: folded([blobs[k] for k in order[i : i + block]])
+            for i in range(0, s.size, block):
+                one = bits(i)
+                for j in range(i, s.size, block):
+                    if p.percent * n[j] > 100 * n[min(i + block, s.size) - 1]:
+                        break
+                    two = bits(j) if j > i else one
+                    x, y = np.arange(i, i + len(one))[:, None], np.arange(j, j + len(two))[None]
+                    both = one @ two.T
+                    most = np.minimum(n[x] - one.sum(1)[:, None], n[y] - two.sum(1)[None]) + both
+                    keep = (x < y) & (label[x] != label[y]) & (most >= least_overlap(n[x], n[y], p.percent)) & fits(n[x], pos[x], n[y], pos[y], p.percent)
+                    for u, v in zip(*(np.array_split(z, 1 + z.size // 20_000) for z in np.nonzero(keep)), strict=True):
+                        f, g = firsts[u + i], firsts[v + j]
+                        teller = np.where(f[:, :, None] == g[:, None, :], f[:, :, None], np.iinfo(np.int64).max).min((1, 2))
+                        mine = (teller == lid) | (teller == np.iinfo(np.int64).max)
+                        found.append((u[mine] + i, v[mine] + j))
         x, y = (np.concatenate(z) for z in zip(*found, strict=True))
         return pairs_table(3, 0, s[x], s[y], needed(n[x], n[y], p))
 
     marked = long.join(labels, long.b == labels.id, "left").select("bucket", "a", "b", "n", "pos", F.coalesce("label", "b").alias("label"))
+    # lists that one label covers are done with
+    left = marked.groupBy("bucket", "a").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(F.col("bucket").alias("k1"), F.col("a").alias("k2"))
+    marked = marked.join(left, (marked.bucket == left.k1) & (marked.a == left.k2), "left_semi").withColumn("lid", F.xxhash64("bucket", "a"))
+    firsts = marked.groupBy("b").agg(F.slice(F.array_sort(F.collect_set("lid")), 1, p.first_lists).alias("firsts"))
+    marked = marked.join(firsts, "b").join(classes.select(F.col("sig").alias("b"), "sketch"), "b")
     return marked.groupBy("bucket", "a").applyInArrow(run, FOUND)
 
 
@@ -247,6 +303,20 @@ def shared_enough(found: DataFrame) -> DataFrame:
     return sums.where("n >= need or kind = 2")
 
 
+def possible(pairs: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
+    """Those pairs whose sketches leave room for the overlap that they need."""
+
+    def run(batches):
+        for batch in batches:
+            n, x, nx, y, ny = (batch.column(k).to_pylist() for k in range(2, 7))
+            keep = [k for k in range(len(n)) if most_shared(x[k], nx[k], y[k], ny[k]) >= least_overlap(nx[k], ny[k], p.percent)]
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int64())) for k in range(3)], ["a", "b", "n"])
+
+    one = classes.select(F.col("sig").alias("a"), F.col("sketch").alias("x"), F.col("n").alias("nx"))
+    two = classes.select(F.col("sig").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("ny"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n", "x", "nx", "y", "ny").mapInArrow(run, "a long, b long, n long")
+
+
 def wanted_bits(ids: DataFrame, n: int) -> tuple[np.ndarray, int]:
     """A Bloom filter of column key, 16 bits an id and 8 MB at most: beyond that more ids pass, and the join after it drops them."""
     bits = 1 << int(min(26, max(12, np.ceil(np.log2(16 * max(1, n))))))
@@ -296,7 +366,7 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, p: Params) ->
     """
     labels = components(pairs, "families")
     sizes = labels.groupBy("label").agg(F.count("*").alias("m"))
-    members = labels.join(sizes, "label").join(classes, F.col("id") == F.col("sig"))
+    members = labels.join(sizes, "label").join(classes.select("sig", "first"), F.col("id") == F.col("sig"))
     members = materialize(members.select("sig", F.coalesce("first", F.lit(NO_ID)).alias("key"), F.col("label").alias("comp"), "m"), "members")
     n = members.count()
     parts = F.ceil(F.col("m") / p.together).cast("int")
@@ -356,17 +426,17 @@ def jaccard_components(docs: DataFrame, p: Params = Params()) -> DataFrame:
     total = rows.agg(F.sum(F.col("n") * (100 - p.percent) / 100 + 1)).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = materialize(candidates(index_entries(docs, frequent, max(parts, int(total) // p.bucket), p), p), "candidates")
-    pairs = materialize(shared_enough(found.where("kind <> 1")).select("a", "b", "n"), "pairs")
     long = found.where("kind = 1").drop("kind")
-    classes = materialize(rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first")), "classes")
+    classes = materialize(rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    pairs = materialize(possible(shared_enough(found.where("kind <> 1")), classes, p), "pairs")
     links = materialize(verify(pairs, docs, classes, p), "links")
     labels = components(links)
     if not long.isEmpty():
-        left = shared_enough(found.where("kind = 0").unionByName(materialize(open_pairs(long, labels, p), "open")))
-        left = materialize(left.where("kind = 3").select("a", "b", "n"), "pairs")
+        left = materialize(open_pairs(long, labels, classes, p), "open").groupBy("a", "b").agg(F.sum("n").alias("n"))
+        left = materialize(possible(left, classes, p), "pairs")
         if not left.isEmpty():
             labels = components(links.unionByName(verify(left, docs, classes, p)))
-    named = classes.join(labels, classes.sig == labels.id, "left").select("sig", F.coalesce("label", "sig").alias("label"), "first")
+    named = classes.select("sig", "first").join(labels, classes.sig == labels.id, "left").select("sig", F.coalesce("label", "sig").alias("label"), "first")
     lowest = named.groupBy("label").agg(F.min("first").alias("component_id"))
     by_sig = named.join(lowest, "label").select("sig", "component_id")
     return rows.join(by_sig, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
