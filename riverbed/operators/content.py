@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WIRE_VIEWS = ("http_request_headers", "http_request_body", "http_response_headers", "http_response_body")
-REQUEST_VIEWS = ("http_request_headers", "http_request_body", "http_request_body_decoded")
-RESPONSE_VIEWS = ("http_response_headers", "http_response_body", "http_response_body_decoded")
+REQUEST_VIEWS = ("http_request_headers", "http_request_body", "http_request_decoded_body")
+RESPONSE_VIEWS = ("http_response_headers", "http_response_body", "http_response_decoded_body")
 KEYS = ["flow_id", "direction"]
 
 
@@ -74,7 +74,7 @@ def hexdump(content: DataFrame, width: int = 16) -> DataFrame:
     """content_id, offset, hex and printable columns, a row for every width bytes."""
     lines = content.select("content_id", "data", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length("data") / width).cast("int") - 1))).alias("line"))
     part = F.substring("data", F.col("line") * width + 1, F.lit(width))
-    printable = F.regexp_replace(F.decode(part, F.lit("ISO-8859-1")), r"[^\x20-\x7E]", ".")
+    printable = F.regexp_replace(F.decode(part, "ISO-8859-1"), r"[^\x20-\x7E]", ".")
     return lines.select("content_id", (F.col("line") * width).cast("bigint").alias("offset"), F.trim(F.regexp_replace(F.lower(F.hex(part)), "(..)", "$1 ")).alias("hex"), printable.alias("printable"))
 
 

@@ -216,7 +216,7 @@ class Half:
                 yield
             done = left in (None, 0)
         if done and whole and kept and head.encoding and (plain := inflate(bytes(kept), head.encoding, conn.caps)):
-            conn.record(self, head, "body_decoded", self.at, plain)
+            conn.record(self, head, "decoded_body", self.at, plain)
 
     def line(self, most: int):
         while (end := self.buffer.find(b"\r\n")) < 0:

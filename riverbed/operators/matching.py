@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-INPUT = ("http_request_headers", "http_request_body", "http_request_body_decoded")
-OUTPUT = ("http_response_headers", "http_response_body", "http_response_body_decoded")
-BOTH = ("tcp_raw", "http_request_body_decoded", "http_response_body_decoded")
+INPUT = ("http_request_headers", "http_request_body", "http_request_decoded_body")
+OUTPUT = ("http_response_headers", "http_response_body", "http_response_decoded_body")
+BOTH = ("tcp_raw", "http_request_decoded_body", "http_response_decoded_body")
 VIEWS = {"input": INPUT, "output": OUTPUT, "both": BOTH}
 HITS = "pattern_id string, pattern_revision long, flow_id string, content_id string, view string, action string, ts_ns long, offset_start long, offset_end long, historical boolean"
 
