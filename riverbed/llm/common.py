@@ -46,6 +46,13 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches hold fewer rows than the default 10,000 (never more than the session allows): whole texts can be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    spark.conf.set(key, min(now, rows) if now > 0 else rows)
+
+
 def fold(doc_id: Column | str, parts: int) -> Column:
     """crc32 of the id's decimal text modulo parts; a null id falls in no fold (-1)."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

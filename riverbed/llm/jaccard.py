@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, small_batches, table
 from .graph import components
 from .shingles import U64, mix, of_worker, signature
 
@@ -61,7 +61,7 @@ def needed(na, nb, p: Params):
     return np.minimum(p.shared, least_overlap(na, nb, p.percent))
 
 
-def read_sets(batches, k: int, most: int = 1_500_000):
+def read_sets(batches, k: int, most: int = 500_000):
     """Blocks of (doc ids, shingle arrays, signatures), a bounded number of shingles at a time."""
     shingler, ids, sets, sigs, held = of_worker(k), [], [], [], 0
     for batch in batches:
@@ -416,6 +416,7 @@ def jaccard_components(docs: DataFrame, p: Params = Params()) -> DataFrame:
     for collisions of 64-bit hashes.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     described = materialize(describe(docs, p), "shingles")
     rows = described.where("kind = 0")
