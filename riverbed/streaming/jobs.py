@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators import connections, matching
+from ..operators.sessions import with_flow_key
 from ..sources.files import demux
 
 
@@ -44,78 +45,48 @@ def table_sink(events: DataFrame, path: str, checkpoint: str):
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-class MatchProcessor(StatefulProcessor):
-    """Live matching: the tails of a stream (flow, direction, view) are its state."""
-
-    def __init__(self, patterns: list[dict], ttl_ms: int = 120_000):
-        self.patterns, self.ttl_ms = patterns, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tail = handle.getValueState("tail", "end long, tail binary", self.ttl_ms)
-        self.matcher = matching.Matcher(self.patterns)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        records = pd.concat(list(rows)).sort_values(["stream_offset", "content_id"]).to_dict("records")
-        self.matcher.tails.clear()
-        if self.tail.exists():
-            self.matcher.tails[tuple(key)] = tuple(self.tail.get())
-        out = [h for r in records for h in self.matcher.feed({**r, "service": r["service"] if isinstance(r["service"], str) else None})]
-        if tuple(key) in self.matcher.tails:
-            self.tail.update(self.matcher.tails[tuple(key)])
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in matching.HITS.split(", ")])
-
-    def close(self) -> None:
-        pass
-
-
 def live_matches(content: DataFrame, patterns: list[dict]) -> DataFrame:
-    """Hits in a stream of content records, across batches as across records. Needs the RocksDB state store."""
-    return content.groupBy("flow_id", "direction", "view").transformWithStateInPandas(MatchProcessor(patterns), outputStructType=matching.HITS, outputMode="append", timeMode="processingtime")
-
+    """Hits in a stream of content records, across batches as across records; the tail of each stream is its state."""
+    names = [f.split()[0] for f in matching.HITS.split(", ")]
 
-class FlowProcessor(StatefulProcessor):
-    """Live flows: the tracker of a flow key is its state, kept as bytes; event-time timers close idle flows."""
+    def run(key, frames, state):
+        matcher = matching.Matcher(patterns)
+        if state.exists:
+            end, tail = state.get
+            matcher.tails[tuple(key)] = end, bytes(tail)
+        records = pd.concat(list(frames)).sort_values(["stream_offset", "content_id"]).to_dict("records")
+        out = [h for r in records for h in matcher.feed({**r, "service": r["service"] if isinstance(r["service"], str) else None})]
+        if tuple(key) in matcher.tails:
+            state.update(matcher.tails[tuple(key)])
+        yield pd.DataFrame(out, columns=names)
 
-    def __init__(self, ports: list[int], timing: connections.Timing = connections.Timing()):
-        self.ports, self.timing = ports, timing
+    return content.groupBy("flow_id", "direction", "view").applyInPandasWithState(run, matching.HITS, "end_at long, tail binary", "append", GroupStateTimeout.NoTimeout)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.kept = handle.getValueState("tracker", "state binary")
 
-    def _frame(self, rows: list[dict]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=[f.split()[0] for f in connections.EVENT.split(", ")]).astype(object).where(lambda d: d.notna(), None)
+def live_flows(packets: DataFrame, ports: list[int], timing: connections.Timing = connections.Timing(), late: str = "10 seconds") -> DataFrame:
+    """Flow events of a stream of decoded packets: the tracker of a flow key is its state, and event time closes idle flows.
 
-    def _save(self, tracker) -> None:
-        import pickle
-
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if tracker.flow:
-            idle = self.timing.tcp_idle_ns if tracker.flow.first["protocol"] == "tcp" else self.timing.udp_idle_ns
-            self.handle.registerTimer((tracker.flow.last_ns + idle) // 1_000_000 + 1)
-        self.kept.update((pickle.dumps(tracker),))
-
-    def _load(self, key):
-        import pickle
-
-        return pickle.loads(self.kept.get()[0]) if self.kept.exists() else connections.Tracker(tuple(key), set(self.ports), self.timing)
-
-    def handleInputRows(self, key, rows, timerValues):
-        tracker, out = self._load(key), []
-        for p in pd.concat(list(rows)).sort_values("frame_no").to_dict("records"):
-            flags = p["flags"]
-            p["flags"] = flags.asDict() if hasattr(flags, "asDict") else flags
-            p["seq"], p["ack"] = (None if p[c] is None or p[c] != p[c] else int(p[c]) for c in ("seq", "ack"))
-            out += tracker.feed(p)
-        self._save(tracker)
-        yield self._frame(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        tracker = self._load(key)
-        out = tracker.close("idle") if tracker.flow else []
-        self._save(tracker)
-        yield self._frame(out)
-
-    def close(self) -> None:
-        pass
+    Rows of a key are taken by arrival number within a batch. A gap that a later packet shows closes a flow as well, so the result does
+    not wait for the watermark.
+    """
+    names = [f.split()[0] for f in connections.EVENT.split(", ")]
+
+    def run(key, frames, state):
+        tracker = pickle.loads(state.get[0]) if state.exists else connections.Tracker(tuple(key), set(ports), timing)
+        out: list[dict] = []
+        if state.hasTimedOut:
+            out = tracker.close("idle") if tracker.flow else []
+            state.remove()
+        else:
+            for p in pd.concat(list(frames)).sort_values("frame_no").to_dict("records"):
+                p["seq"], p["ack"] = (None if p[c] is None or p[c] != p[c] else int(p[c]) for c in ("seq", "ack"))
+                out += tracker.feed(p)
+            state.update((pickle.dumps(tracker),))
+            if tracker.flow:
+                idle = timing.tcp_idle_ns if tracker.flow.first["protocol"] == "tcp" else timing.udp_idle_ns
+                state.setTimeoutTimestamp(max((tracker.flow.last_ns + idle) // 1_000_000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([{n: e.get(n) for n in names} for e in out], columns=names, dtype=object)
+
+    cols = ["frame_no", "ts_ns", "ts", "src_ip", "dst_ip", "src_port", "dst_port", "seq", "ack", "flags", "payload", "direction", *connections.KEYS]
+    keyed = with_time(with_flow_key(packets.where("status = 'packet'"))).withWatermark("ts", late).select(*cols)
+    return keyed.groupBy(*connections.KEYS).applyInPandasWithState(run, connections.EVENT, "tracker binary", "append", GroupStateTimeout.EventTimeTimeout)
