@@ -32,8 +32,8 @@ class Params:
     #: Prefix shingles that a pair must share; prefixes are so much longer that no similar pair shares fewer.
     shared: int = 16
     #: A shingle found in so many sets counts as frequent; the order needs the most frequent ones only, and is exact with any of them.
-    often: int = 8
-    table_of_frequent: int = 100_000
+    often: int = 4
+    table_of_frequent: int = 200_000
     #: Lists above this length are taken for families.
     family: int = 24
     leaders: int = 8
@@ -99,14 +99,14 @@ def most_shared(x: bytes, nx: int, y: bytes, ny: int) -> int:
 
 
 def describe(docs: DataFrame, p: Params) -> DataFrame:
-    """kind 0: doc_id, n, sig and sketch of every row; kind 1: sig holds a shingle found in n >= 4 different sets of one block."""
+    """kind 0: doc_id, n, sig and sketch of every row; kind 1: sig holds a shingle found in n >= 2 different sets of one block."""
 
     def run(batches):
         for ids, sets, sigs in read_sets(batches, p.words):
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), pa.array(ids, pa.int64()), pa.array([s.size for s in sets], pa.int64()), pa.array(sigs, pa.int64()), pa.array(map(sketch, sets), pa.binary())], ["kind", "doc_id", "n", "sig", "sketch"])
             once = [sets[k] for k in np.unique(np.array(sigs), return_index=True)[1]]
             h, n = np.unique(np.concatenate(once), return_counts=True)
-            h, n = h[n >= 4], n[n >= 4]
+            h, n = h[n >= 2], n[n >= 2]
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(h.size, np.int32)), pa.nulls(h.size, pa.int64()), pa.array(n.astype(np.int64)), pa.array(h.view(np.int64)), pa.nulls(h.size, pa.binary())], ["kind", "doc_id", "n", "sig", "sketch"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, n long, sig long, sketch binary")
