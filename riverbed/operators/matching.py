@@ -10,6 +10,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,10 +103,6 @@ class Group:
         self.longest = max((len(b) for _, b in self.literals), default=0)
         self.ends = None
         if self.literals:
-            try:
-                import ahocorasick
-            except ImportError:
-                return
             found: dict[str, tuple[int, int]] = {}
             for k, b in self.literals:
                 found.setdefault(b.decode("latin-1"), (k, len(b)))
