@@ -2,9 +2,10 @@
 
 Equal vectors are one node. Neighbour lists start from windows of a few random sort orders and are refined by joining each node's
 neighbours with one another: a neighbour's neighbour is likely a neighbour. Lists whose last entry still reaches the threshold are
-saturated and grow. A sample is compared with all nodes to audit recall; where it falls short, refinement goes on with new orders and
-longer lists. Edges at the threshold give components, and inside a component all pairs are compared, in blocks, so that every node's
-number of links is exact even where groups are dense.
+saturated and grow, up to a length; nodes whose lists may be saturated are compared with all nodes of their label, in blocks, as their
+lists have no room for all links. A sample is compared with all nodes to audit the recall of the others; where it falls short, refinement
+goes on with new orders and longer lists, and where that is not enough either, all nodes of a label are compared. Edges at the threshold
+give components, and inside a component all pairs are compared, in blocks, so that every node's number of links is exact.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, share, table
-from .graph import components
+from .graph import components, contract
 
 EDGE = "a long, b long, sim double"
 
@@ -25,7 +26,7 @@ EDGE = "a long, b long, sim double"
 @dataclass(frozen=True)
 class Params:
     threshold: float = 0.93
-    #: Length of a neighbour list, and how long a saturated one may grow before components take over.
+    #: Length of a neighbour list, and how long a saturated one may grow; nodes with k links or more are compared with all in any case.
     k: int = 8
     k_most: int = 32
     orders: int = 8
@@ -35,8 +36,9 @@ class Params:
     audit: int = 1024
     recall: float = 0.999
     tries: int = 3
-    #: Nodes of a block inside a component.
+    #: Nodes of a block inside a component, and of one where nodes are compared with all of their label.
     block: int = 1024
+    wide: int = 4096
     seed: int = 17
 
 
@@ -163,8 +165,48 @@ def refine(lists: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
     return near.join(full, "id").select("mid", "id", "low", "x").repartition("mid").sortWithinPartitions("mid").mapInArrow(run, EDGE)
 
 
-def audit(nodes: DataFrame, labels: DataFrame, n: int, p: Params) -> tuple[float, DataFrame]:
-    """Recall of the components on a sample, and the sample's links (a, b): the sample is compared with all nodes."""
+def crowded(linked: DataFrame, p: Params) -> DataFrame:
+    """(id): nodes with p.k links (a, b) or more, all those whose lists may be saturated among them."""
+    both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    return both.groupBy(F.col("a").alias("id")).count().where(F.col("count") >= p.k).select("id")
+
+
+def exact(nodes: DataFrame, chosen: DataFrame | None, p: Params) -> DataFrame:
+    """Edges (a, b) with the components of all links of the nodes chosen (id; None: of all nodes), found by comparing them with all.
+
+    Blocks of chosen nodes meet blocks of all nodes of their label and length; of a pair of blocks only a forest of its links goes out.
+    """
+    rows = nodes.select("id", "label", "dim", "x")
+    own = rows if chosen is None else rows.join(chosen, "id", "left_semi")
+    count = lambda df, name: df.groupBy("label", "dim").agg(F.ceil(F.count("*") / p.wide).cast("int").alias(name))
+    parts = count(rows, "every").join(count(own, "some"), ["label", "dim"])
+    at = lambda name: F.pmod(F.xxhash64("id", F.lit(5)), F.col(name)).cast("int")
+    left = own.join(F.broadcast(parts), ["label", "dim"]).withColumn("i", at("some")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("every") - 1)))
+    right = rows.join(F.broadcast(parts), ["label", "dim"]).withColumn("j", at("every")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("some") - 1)))
+    if chosen is None:  # a pair of blocks once
+        left, right = left.where("i <= j"), right.where("i <= j")
+    one, two = (df.select("label", "dim", "i", "j", "id", "x").toDF(*(f"{c}{side}" for c in ("label", "dim", "i", "j")), "id", "x") for side, df in enumerate((left, right)))
+    cells = one.groupBy("label0", "dim0", "i0", "j0").cogroup(two.groupBy("label1", "dim1", "i1", "j1"))
+
+    def links(one, two):
+        a, b = one.column("id").to_numpy(), two.column("id").to_numpy()
+        x, y = stack(one.column("x"), np.float64), stack(two.column("x"), np.float64)
+        for k in range(0, len(a), 512):
+            i, j = np.nonzero(x[k : k + 512] @ y.T >= p.threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(a[k + i]), pa.array(b[j])], ["a", "b"])
+
+    def run(one, two):
+        found = list(contract(links(one, two))) if one.num_rows and two.num_rows else []
+        return pa.Table.from_batches(found, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return cells.applyInArrow(run, "a long, b long")
+
+
+def audit(nodes: DataFrame, labels: DataFrame, settled: DataFrame, n: int, p: Params) -> tuple[float, DataFrame]:
+    """Recall of the components on a sample, and the sample's links (a, b): the sample is compared with all nodes.
+
+    Links of nodes that are settled (id; their links are all known) do not count, as they would hide what is missed elsewhere.
+    """
     rows = nodes.where(share("id", p.audit / max(1, n))).select("id", "label", "dim", "x").collect()
     by: dict[tuple[int, int], list] = {}
     for r in rows:
@@ -185,7 +227,8 @@ def audit(nodes: DataFrame, labels: DataFrame, n: int, p: Params) -> tuple[float
 
     found = materialize(nodes.select("id", "label", "dim", "x").mapInArrow(run, "a long, b long"), "audit")
     one, two = labels.toDF("a", "la"), labels.toDF("b", "lb")
-    total, met = found.join(one, "a", "left").join(two, "b", "left").agg(F.count("*"), F.count_if(F.col("la") == F.col("lb"))).first()
+    judged = found.join(settled.toDF("a"), "a", "left_anti").join(settled.toDF("b"), "b", "left_anti")
+    total, met = judged.join(one, "a", "left").join(two, "b", "left").agg(F.count("*"), F.count_if(F.col("la") == F.col("lb"))).first()
     return (met / total if total else 1.0), found
 
 
@@ -245,12 +288,17 @@ def near_duplicates(vectors: DataFrame, p: Params = Params()) -> DataFrame:
             lengths = lists.where((F.col("last") >= p.threshold) & F.col("full")).groupBy("a").agg(F.least(F.max("k") * 2, F.lit(p.k_most)).alias("k"))
             edges = lists.select("a", "b", "sim").unionByName(materialize(refine(lists, nodes, p), "refined"))
         linked = edges.where(F.col("sim") >= p.threshold).select("a", "b")
+        dense = materialize(crowded(linked, p), "crowded")
+        if not dense.isEmpty():
+            linked = linked.unionByName(materialize(exact(nodes, dense, p), "exact"))
         labels = components(linked)
-        recall, sampled = audit(nodes, labels, n, p)
+        recall, sampled = audit(nodes, labels, dense, n, p)
         if recall >= p.recall:
             break
         edges = edges.unionByName(materialize(windows(nodes, n, (attempt + 1) * p.orders, p), "windows"))
-    if recall < 1:  # what the audit saw counts
+    if recall < p.recall:
+        labels = components(exact(nodes, None, p))
+    elif recall < 1:  # what the audit saw counts
         labels = components(linked.unionByName(sampled))
     labels = materialize(labels, "labels")
     links = degrees(nodes, labels, p)

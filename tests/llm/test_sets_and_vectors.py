@@ -114,6 +114,24 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_of_saturated_lists(spark):
+    rng = np.random.default_rng(8)
+    spread = lambda centre: [centre / np.linalg.norm(centre) + 0.02 * rng.normal(size=16) for _ in range(60)]
+    one = np.eye(16)[0]
+    rows = [(k, [float(x) for x in v], 0) for k, v in enumerate(spread(one) + spread(0.94 * one + np.sqrt(1 - 0.94**2) * np.eye(16)[1]))]
+    v = np.array([r[1] for r in rows], np.float32).astype(float)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    links = (v @ v.T >= 0.93).sum(1) - 1
+    assert (v[:60] @ v[60:].T >= 0.93).sum() > 100 and (v[:60] @ v[:60].T).min() > 0.97
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    want = [(k, int(n), 0, k == 0) for k, n in enumerate(links)]
+    found = lambda **p: sorted(map(tuple, embedding_dedup.near_duplicates(df, embedding_dedup.Params(**p)).collect()))
+    assert found(audit=0) == want  # no audit, which would compare all of so few nodes
+    assert found(audit=0, wide=32) == want
+    # a bound out of reach and no node crowded: all nodes are compared
+    assert found(audit=0, orders=1, window=1, rounds=1, tries=1, k=200, wide=50, recall=1.1) == want
+
+
 def test_mixing(spark):
     letters = {"x": "eee tt ", "y": "zzz qq ww ", "z": "üü ßß öö "}
     rows = [(k, letters[d] * (3 + k % 5), d if k % 6 else None) for k, d in enumerate("xxxxxxyyyz" * 40)]
