@@ -26,8 +26,8 @@ class Params:
     #: Labelled documents that centroids are fitted on, all languages together (about; chosen by a hash of the id).
     sample: int = 3000
     rounds: int = 8
-    #: A text is rejected when its distance exceeds 1 - this share of its language's lowest cosine in training.
-    slack: float = 0.05
+    #: A text is rejected when its cosine falls short of a floor; it lies this far up from the cosines of foreign texts to own ones.
+    between: float = 0.2
     seed: int = 7
 
 
@@ -169,15 +169,18 @@ def fit(docs: DataFrame, p: Params = Params()) -> Model | None:
         x = np.zeros((len(own), p.bins), np.float32)
         for k, r in enumerate(own):
             x[k, np.frombuffer(r[2], "<u2")] = np.frombuffer(r[3], "<u2")
-        x = unit(x * idf)
+        counts, x = x, unit(x * idf)
         c = unit(x[rng.choice(len(x), min(p.centroids, len(x)), replace=False)])
         for _ in range(p.rounds):
             near = (x @ c.T).argmax(1)
             c = unit(np.stack([x[near == k].sum(0) if (near == k).any() else c[k] for k in range(len(c))]))
         cos = (x @ c.T).max(1)
+        # foreign: the same counts on other trigrams, drawn anew for each document
+        foreign = np.concatenate([(unit(rng.permuted(counts, axis=1) * idf) @ c.T).max(1) for _ in range(max(1, 200 // len(x)))])
+        own_low, foreign_high = float(np.quantile(cos, 0.01)), float(np.quantile(foreign, 0.99))
         languages += [lang] * len(c)
         centroids.append(c)
-        floor += [float(np.quantile(cos, 0.01)) * p.slack] * len(c)
+        floor += [min(own_low, foreign_high + p.between * max(0.0, own_low - foreign_high))] * len(c)
     return Model(languages, np.concatenate(centroids), idf, np.array(floor), p) if languages else None
 
 

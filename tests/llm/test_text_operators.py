@@ -57,6 +57,22 @@ def test_language(spark, odd):
     assert langid.predict(odd.limit(0), model).count() == 0
 
 
+def test_language_rejects_foreign_texts(spark):
+    import random
+
+    rng = random.Random(5)
+    parts = {"en": "the and of with that ing er on tion re", "de": "der und das nicht mit ung ein ich sch be"}
+    prose = lambda lang, k: " ".join("".join(rng.choices(parts[lang].split(), k=rng.randrange(1, 4))) for _ in range(k))
+    rows = [(k, prose(lang, 12), lang) for lang in parts for k in range(200)]
+    model = langid.fit(spark.createDataFrame([(k, t, lang) for k, (_, t, lang) in enumerate(rows)], "doc_id long, text string, lang string"))
+    noise = lambda letters: " ".join("".join(rng.choices(letters, k=rng.randrange(2, 9))) for _ in range(100))
+    foreign = ["Сегодня утром дети пошли в школу, а родители остались дома.", "Tänä aamuna lapset menivät kouluun ja vanhemmat jäivät kotiin juomaan teetä."]
+    foreign += [noise("abcdefghijklmnopqrstuvwxyz") for _ in range(20)] + [noise("абвгдежзиклмнопрстуфхцчшщэюя") for _ in range(20)]
+    own = [prose(lang, 12) for lang in parts for _ in range(10)]
+    got = langid.predict(spark.createDataFrame(list(enumerate(foreign + own)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r["rejected"] for r in got] == [True] * len(foreign) + [False] * len(own)
+
+
 def test_quality(spark, odd):
     good = [(k, f"This is sentence number {k} of a plain text, with {k % 7} words more. It ends here."[: 60 + k % 20], 1) for k in range(80)]
     bad = [(k + 100, ("%%% " if k % 2 else "BUY!! ") * (5 + k % 9), 0) for k in range(80)]
