@@ -18,8 +18,9 @@ from . import forest
 from .common import table
 from .spans import cut_out, spans_where
 
-#: A whole private key block, or an unbroken run of 16 or more characters that keys are made of.
-CANDIDATE = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?s:.{0,8192}?)-----END [A-Z ]{0,20}PRIVATE KEY-----|(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}+"
+#: A whole private key block of any length (possessive, so that long ones take no stack), or an unbroken run of 16 or more characters that
+#: keys are made of, with or without digits.
+CANDIDATE = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]++|-(?!----END [A-Z ]{0,20}PRIVATE KEY-----))*+-----END [A-Z ]{0,20}PRIVATE KEY-----|(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}+"
 #: Words in front of a candidate that speak for a secret, and against one.
 FOR = r"(?i)(key|token|secret|passw|pwd|credential|auth|bearer|private|access|apikey)"
 AGAINST = r"(?i)(commit|sha-?(1|256|512)|md5|checksum|digest|hash|uuid|guid|version|revision|etag|integrity|isbn|serial|order|ticket|invoice|build)"
@@ -31,19 +32,19 @@ FEATURES = ("length", "transitions", "digits", "upper", "lower", "other", "disti
 
 
 def candidate_spans(text: Column) -> Column:
-    return F.filter(spans_where(text, text.rlike("[0-9]") & text.rlike("[A-Za-z0-9+/_=.-]{16}") | text.contains("PRIVATE KEY"), CANDIDATE), lambda c: c["value"].rlike("[0-9]") | c["value"].contains("PRIVATE KEY"))
+    return spans_where(text, text.rlike("[A-Za-z0-9+/_=.-]{16}") | text.contains("PRIVATE KEY"), CANDIDATE)
 
 
 def describe(text: Column, c: Column) -> Column:
     """struct of start, end and the FEATURES of candidate c (all double)."""
-    v = F.substring(c["value"], 1, 400)
+    v = c["value"]
     n = F.length(v).cast("double")
     before = F.substring(text, F.greatest(c["start"] - CONTEXT, F.lit(0)) + 1, F.least(c["start"], F.lit(CONTEXT)))
     after = F.substring(text, c["end"] + 1, F.lit(1))
     count = lambda pattern: F.regexp_count(v, F.lit(pattern)).cast("double")
     truth = lambda x: x.cast("double")
     values = (
-        F.length(c["value"]).cast("double"),
+        n,
         count("(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Za-z])|(?<=[0-9])(?=[^0-9])|(?<=[a-z])(?=[A-Z])") / n,
         count("[0-9]") / n,
         count("[A-Z]") / n,
@@ -55,12 +56,12 @@ def describe(text: Column, c: Column) -> Column:
         count("/") / n,
         count(r"\.") / n,
         count("[-_]") / n,
-        truth(c["value"].rlike(PROVIDER)),
+        truth(v.rlike(PROVIDER)),
         truth(before.rlike(FOR + r"[^A-Za-z]{0,12}$") | before.rlike(FOR + r"\S{0,12}\W{0,6}$")),
         truth(before.rlike(AGAINST)),
-        truth(before.rlike(r"[=:]\s{0,2}[\"'`]?$") | c["value"].rlike("^[A-Za-z_.-]{3,30}=[^=]")),
+        truth(before.rlike(r"[=:]\s{0,2}[\"'`]?$") | v.rlike("^[A-Za-z_.-]{3,30}=[^=]")),
         truth(before.rlike("[\"'`]$") & after.rlike("[\"'`]")),
-        truth(before.rlike(r"[/\\@:]$") | c["value"].rlike(r"^\.{0,2}/|/[a-z]+/|\.[a-z]{2,4}$")),
+        truth(before.rlike(r"[/\\@:]$") | v.rlike(r"^\.{0,2}/|/[a-z]+/|\.[a-z]{2,4}$")),
         truth(v.rlike("^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$")),
         count("[aeiouAEIOU]") / n,
     )
@@ -74,7 +75,15 @@ def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[str, int]]:
     pick = lambda chars, k: "".join(rng.choices(chars, k=k))
     word = lambda: pick(string.ascii_lowercase, rng.randrange(2, 9))
     secrets = [lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + pick(alnum, 36), lambda: "xoxb-" + pick(string.digits, 12) + "-" + pick(alnum, 24), lambda: "sk_live_" + pick(alnum, 24), lambda: "AIza" + pick(alnum + "_-", 35), lambda: pick(hexa, rng.choice((32, 40, 48, 64))), lambda: pick(hexa, 40), lambda: pick(alnum + "+/", rng.randrange(24, 64)), lambda: pick(alnum + "_-", rng.randrange(20, 44)), lambda: "eyJ" + pick(alnum, 33) + ".eyJ" + pick(alnum, 60) + "." + pick(alnum + "_-", 43)]
+    # without a digit: application passwords, random keys, passphrases
+    secrets += [lambda: pick(string.ascii_lowercase, 16), lambda: pick(string.ascii_letters, rng.randrange(20, 44)), lambda: rng.choice("-_.").join(word() for _ in range(rng.randrange(4, 7))).ljust(16, "a")]
     false = [lambda: pick(hexa, 40), lambda: pick(hexa, rng.choice((32, 64))), lambda: "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12)), lambda: pick(string.digits, rng.randrange(16, 24)), lambda: "/".join([word(), word(), word(), word() + str(rng.randrange(99))]) + ".html", lambda: "www." + word() + word() + ".com/" + word() + str(rng.randrange(999)), lambda: "_".join([word(), word(), word(), str(rng.randrange(99)), word()]), lambda: "-".join([word(), word(), word(), str(rng.randrange(2030)), word()]), lambda: word() + word() + word() + word() + str(rng.randrange(99)), lambda: "your-api-key-here-" + str(rng.randrange(999)), lambda: "x" * rng.randrange(16, 40) + "0", lambda: ".".join(str(rng.randrange(300)) for _ in range(4)) + "-" + word() + "." + word(), lambda: word() + str(rng.randrange(99)) + "." + word() + "." + word() + word() + "=" * rng.randrange(3)]
+    # without a digit: names, paths, hosts, long words, rules, elisions
+    false += [lambda: rng.choice("_-.").join(word() for _ in range(rng.randrange(3, 6))).ljust(16, "a"), lambda: "/".join(["", *(word() for _ in range(4))]).ljust(16, "a"), lambda: "www." + word() + word() + ".example.com/" + word(), lambda: "".join(rng.choice(("in", "ter", "na", "tion", "al", "ment", "un", "ver", "ing", "able", "con", "re", "lich", "keit", "ung")) for _ in range(8)).ljust(16, "a"), lambda: word() + "".join(word().title() for _ in range(5)) + "Handler", lambda: rng.choice("-=._") * rng.randrange(16, 80), lambda: word() + "..." + word() + "..." + word() + "." * 12, lambda: "your-api-key-goes-here", lambda: "x" * rng.randrange(16, 40)]
+    # long words of prose, which only what stands in front tells from an application password
+    parts = ("in", "ter", "na", "tion", "al", "ment", "un", "ver", "ing", "able", "con", "re", "lich", "keit", "ung", "sch", "heit", "der", "er", "en", "on", "wh", "th", "st")
+    long_word = lambda: pick(parts, rng.randrange(6, 12)).ljust(16, "e")
+    false += [long_word, long_word, lambda: long_word().title(), lambda: long_word().upper(), lambda: long_word().upper() + ".", lambda: long_word() + ".", lambda: pick(string.ascii_lowercase, rng.randrange(16, 24)), lambda: pick(string.ascii_lowercase, 16) + "."]
     hints, wrong = ["token", "api_key", "apiKey", "secret", "password", "access_key", "auth_token", "private key", "client secret", "Authorization: Bearer", "credential"], ["commit", "sha256", "sha1", "md5", "checksum", "digest", "uuid", "build", "order", "version", "etag", "hash"]
     out = []
     for k in range(n):

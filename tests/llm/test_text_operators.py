@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from riverbed.llm import bpe, langid, license_scan, pii, quality, secret_scan
 
@@ -133,6 +134,24 @@ def test_secrets(spark, odd):
     assert sum((best.get(k, 0) >= 0.5) == bool(y) for k, (_, y) in enumerate(fresh)) >= 360
 
 
+def test_secrets_without_digits_and_long_ones(spark):
+    model = secret_scan.train(spark)
+    block = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join("MIIEab+/" * 8 for _ in range(3000)) + "\n-- -\n-----END RSA PRIVATE KEY-----"
+    texts = ['password = "qzhwkvbnxjrtplmc"', 'api_key = "QzhWkvbNxJrtPLmcYdGsHfaE"', f"a {block} b", "the internationalization of telecommunications", "-" * 40, "see /usr/share/doc/readme/index.html now", "-----BEGIN PRIVATE KEY----- " + "- " * 30_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = secret_scan.scan(docs, model).collect()
+    assert {r["doc_id"] for r in rows if r["is_secret"]} == {0, 1, 2} and {3, 4, 5} <= {r["doc_id"] for r in rows}
+    assert [(r["start"], r["end"]) for r in rows if r["doc_id"] == 2] == [(2, 2 + len(block))]
+    assert [r["text"] for r in secret_scan.redact(docs, model).orderBy("doc_id").collect()][:3] == ['password = "[SECRET]"', 'api_key = "[SECRET]"', "a [SECRET] b"]
+
+
+def test_secret_features_cover_the_whole_candidate(spark):
+    one = "ab1" * 200
+    rows = spark.createDataFrame([(0, one), (1, one[:450] + "X/9" * 50)], "doc_id long, text string")
+    got = [r["f"] for r in rows.select(F.transform(secret_scan.candidate_spans(F.col("text")), lambda c: secret_scan.describe(F.col("text"), c))[0].alias("f")).collect()]
+    assert got[0]["length"] == got[1]["length"] == 600 and (got[0]["upper"], got[1]["upper"], got[1]["slashes"]) == (0, 50 / 600, 50 / 600)
+
+
 def test_licences(spark, odd):
     r = license_scan.Recogniser()
     names = lambda t: [n for n, *_ in r.notices(t)]
