@@ -141,7 +141,7 @@ query("content_visible", "SELECT content_id, view FROM content WHERE content_id
 query("matches_projected", """SELECT content_id AS target_id, pattern_id, pattern_revision, offset_start, offset_end, historical FROM hits WHERE content_id NOT IN (SELECT content_id FROM hidden)
   UNION SELECT t.content_id, h.pattern_id, h.pattern_revision, h.offset_start, h.offset_end, h.historical FROM hits AS h JOIN hidden USING (content_id) JOIN content AS r ON r.content_id = h.content_id
   JOIN content AS t ON t.flow_id = r.flow_id AND t.direction = r.direction AND t.view <> 'tcp_raw' AND h.offset_start < t.stream_offset + t.payload_len AND h.offset_end > t.stream_offset""", "content", "hidden", "hits")(lambda s, d: C.projected_hits(A.content(s, d), A.content_hits(s, d)))
-query("content_presentation", "SELECT c.content_id, CASE WHEN c.view = 'http_request_body' THEN true WHEN c.view = 'http_response_body' THEN false ELSE c.direction = CASE WHEN f.initiator_a THEN 'a_to_b' WHEN NOT f.initiator_a THEN 'b_to_a' END END AS request, c.text AS preview FROM content AS c LEFT JOIN flows AS f USING (flow_id) WHERE c.payload_len <= 4096", "content", "flows")(lambda s, d: C.presentation(A.content(s, d).where("payload_len <= 4096"), A.flows(s, d)))
+query("content_presentation", "SELECT c.content_id, CASE WHEN c.view = 'http_request_body' THEN true WHEN c.view = 'http_response_body' THEN false ELSE c.direction = CASE WHEN f.initiator_a THEN 'a_to_b' WHEN NOT f.initiator_a THEN 'b_to_a' END END AS request, c.text AS preview FROM content AS c LEFT JOIN flows AS f USING (flow_id) WHERE c.payload_len <= 4096", "content", "flows")(lambda s, d: C.presentation(A.content(s, d), A.flows(s, d)))
 query("content_format_base64", "SELECT content_id, base64(encode(text)) AS body FROM content", "content")(lambda s, d: C.formatted(A.content(s, d)))
 query("content_format_hex", "SELECT content_id, lower(hex(encode(text))) AS body FROM content", "content")(lambda s, d: C.formatted(A.content(s, d), "hex"))
 query("content_format_text", "SELECT content_id, text AS body FROM content", "content")(lambda s, d: C.formatted(A.content(s, d), "text"))
