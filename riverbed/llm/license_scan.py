@@ -7,7 +7,9 @@ results is then matched against rules, each an ordered list of identifiers. A no
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -85,6 +87,11 @@ SPDX = {i.lower(): i for i in ("Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Claus
 #: A sentence that holds none of these words is no licence sentence.
 _HINT = re.compile(r"licen[cs]|permission|redistribut|copyright|warrant|free software|public domain|rights reserved|cc0|gpl|obtain a copy|spdx|©|\(c\)|received a copy|neither the name|unencumbered|permitted|in compliance|under the (?:mit|bsd)", re.IGNORECASE)
 _END = re.compile(r"(?<=[.!?])[)\"']*\s+|\n+")
+_STOP = re.compile(r"(?<=[.!?])[)\"']*\s+")
+_LINE = re.compile(r"[^\n]+")
+_COMMENT = re.compile(r"[ \t]*(?:(?://+|#+|\*+(?!/)|;+|--+|%+|>+|\|+)[ \t]*)?")
+#: A line with nothing but a comment's marks parts sentences too.
+_BLANK = re.compile(r"\n(?:[ \t\r#*/;|>%-]*\n)+")
 _MARK = re.compile(r"^[\s#*/;|>%-]+|^\s*(?:\(?[0-9a-z]{1,2}[.)])\s+")
 
 
@@ -112,30 +119,63 @@ class Recogniser:
     def identify(self, sentence: str) -> tuple[str, dict[str, str]] | None:
         """The identifier of a sentence and what its pattern names; the same sentence is looked up once."""
         key = normal(sentence)
-        if key not in self.known:
+        if key in self.known:
+            return self.known[key]
+        found = next(((k, {n: v for n, v in m.groupdict().items() if v}) for k, p in self.patterns if (m := p.fullmatch(key))), None)
+        if len(key) <= 2000:  # longer ones are looked up each time, so that what is kept stays small
             if len(self.known) > 100_000:
                 self.known.clear()
-            self.known[key] = next(((k, {n: v for n, v in m.groupdict().items() if v}) for k, p in self.patterns if (m := p.fullmatch(key))), None) if len(key) <= 2000 else None
-        return self.known[key]
+            self.known[key] = found
+        return found
 
     def sentences(self, text: str) -> list[Sentence]:
-        """The known licence sentences of a text, in their order. Lines are joined where a sentence runs on over up to three."""
-        out, done = [], -1
-        for hint in _HINT.finditer(text):
+        """The known licence sentences of a text, in their order. They run on over lines, without the lines' comment marks, up to a blank line."""
+        out, at = [], 0
+        for gap in chain(_BLANK.finditer(text), (None,)):
+            end = gap.start() if gap else len(text)
+            if _HINT.search(text, at, end):
+                out += self.paragraph(text, at, end)
+            at = gap.end() if gap else end
+        return out
+
+    def paragraph(self, text: str, first: int, last: int) -> list[Sentence]:
+        """The sentences between two blank lines: lines are joined, and places in the joined text are mapped back."""
+        froms, tos, parts, n = [], [], [], 0
+        for line in _LINE.finditer(text, first, last):
+            begin = _COMMENT.match(text, line.start(), line.end()).end() if parts else line.start()
+            froms.append(begin)
+            tos.append(n)
+            parts.append(text[begin : line.end()])
+            n += line.end() - begin + 1
+        joined = "\n".join(parts)
+        back = lambda k: froms[(j := bisect_right(tos, k) - 1)] + k - tos[j]
+        stops = [m.span() for m in _STOP.finditer(joined)]
+        stop_at, stop_to = [x for x, _ in stops] + [len(joined)], [0] + [y for _, y in stops]
+        out, done, tried = [], -1, set()
+        for hint in _HINT.finditer(joined):
             if hint.start() < done:
                 continue
-            begin = max(text.rfind("\n", 0, hint.start()), *(m for m in (text.rfind(e, max(0, hint.start() - 400), hint.start()) for e in (". ", "! ", "? ")))) + 1
-            stop = _END.search(text, hint.end())
-            ends, at = [], hint.end()
+            line = bisect_right(tos, hint.start()) - 1
+            near = max(tos[line], *(joined.rfind(e, max(0, hint.start() - 400), hint.start()) + 1 for e in (". ", "! ", "? ")))
+            whole = stop_to[bisect_right(stop_to, hint.start()) - 1]
+            # the hint's own line first, then lines before it back to the sentence's start
+            begins = [near, *(tos[k] for k in range(line - 1, -1, -1) if tos[k] > whole), whole]
+            ends, k = [], hint.end()
             for _ in range(4):  # a full stop inside a version, or a line's end inside a sentence
-                stop = _END.search(text, at)
-                ends.append(stop.start() if stop else len(text))
+                stop = _END.search(joined, k)
+                ends.append(stop.start() if stop else len(joined))
                 if not stop:
                     break
-                at = stop.end()
-            for end in ends:
-                if found := self.identify(text[begin:end]):
-                    out.append(Sentence(begin + len(text[begin:end]) - len(text[begin:end].lstrip()), end, *found))
+                k = stop.end()
+            j = bisect_left(stop_at, hint.end())
+            ends += [e for e in stop_at[j : j + 4] if e not in ends]
+            for begin, end in ((x, y) for x in begins for y in ends if x >= done):
+                if (begin, end) in tried:
+                    continue
+                tried.add((begin, end))
+                if found := self.identify(joined[begin:end]):
+                    start = begin + len(joined[begin:end]) - len(joined[begin:end].lstrip())
+                    out.append(Sentence(back(start), back(end - 1) + 1, *found))
                     done = end
                     break
         return out

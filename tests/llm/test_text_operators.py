@@ -163,3 +163,23 @@ def test_licences(spark, odd):
     assert r.notices(full) == [("MIT", 0, len(full), "mit-grant+mit-notice+mit-asis")]
     assert names("a licence to operate a boat") == [] and names("") == []
     assert license_scan.scan(odd).count() == len(ODD) and license_scan.scan(odd.limit(0)).count() == 0
+
+
+def test_licences_over_many_lines():
+    r = license_scan.Recogniser()
+    gnu = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    asis = "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
+    apache = ["Licensed under the Apache License, Version 2.0;", "you may not use this file except in compliance with the License.", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"]
+    for mark in ("", "# ", "// ", " * "):
+        for width in (3, 6, 10):
+            words = gnu.split()
+            text = "int x;\n\n" + "\n".join(mark + " ".join(words[k : k + width]) for k in range(0, len(words), width)) + "\n\ny"
+            assert [n for n, *_ in r.notices(text)] == ["GPL-3.0-or-later"], (mark, width)
+        head, tail = asis.split(" distributed under", 1)
+        text = "\n".join([mark + head, mark + "distributed under" + tail])
+        assert [s.kind for s in r.sentences(text)] == ["apache-2.0-asis"]
+        (found,) = r.sentences(text)
+        assert text[found.start : found.end].lstrip("#/* ").startswith("Unless") and text[found.start : found.end].endswith("implied.")
+    assert r.notices("\n".join(apache))[0][0] == "Apache-2.0"
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, " + "including that " * 300 + "so."
+    assert [n for n, *_ in r.notices(grant)] == ["MIT"]
