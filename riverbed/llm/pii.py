@@ -140,7 +140,7 @@ def inputs(rows: np.ndarray) -> np.ndarray:
 def train(counts: list[tuple]) -> np.ndarray:
     """Weights of a logistic classifier fitted to the chances that weigh() finds."""
     rows = np.array(counts, float)
-    x, target, n = inputs(rows), weigh(counts), np.minimum(rows[:, -1], 1e6)
+    x, target, n = inputs(rows), weigh(counts), rows[:, -1]
     w = np.zeros(x.shape[1])
     for _ in range(30):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
