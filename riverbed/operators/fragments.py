@@ -81,9 +81,9 @@ def assemble(packets: DataFrame) -> DataFrame:
                         o = d.transport(f["next"], f["src_ip"], f["dst_ip"], whole[0], f["domain"], 0)
                     except (d.Malformed, d.struct.error, IndexError):
                         o = d.Outcome("error")
-                    rows.append(d.packet_row(r["frame_no"], r["ts_ns"], whole[1], o))
+                    rows.append(d.packet_row(r, whole[1], o))
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     keys = ["fragment.version", "fragment.domain", "fragment.src_ip", "fragment.dst_ip", "fragment.id", "fragment.next"]
-    parts = packets.where("status = 'fragment'").repartition(*keys).sortWithinPartitions(*keys, "frame_no")
+    parts = packets.where("status = 'fragment'").repartition(*keys).sortWithinPartitions(*keys, "arrival_ns", "path", "frame_no")
     return packets.where("status <> 'fragment'").unionByName(parts.mapInArrow(run, d.PACKET))

@@ -41,6 +41,7 @@ class Head:
     content_type: str | None = None
     encoding: str | None = None
     length: int | None = None
+    ambiguous: bool = False
     chunked: bool = False
     to_end: bool = False
     offset: int = 0
@@ -74,12 +75,14 @@ def parse_head(raw: bytes, caps: Caps = Caps()) -> Head:
         fields.setdefault(name.lower(), []).append(value.strip())
     one = lambda n: fields[n][0].decode("utf-8", "replace") if n in fields else None
     head.host, head.user_agent, head.content_type = one(b"host"), one(b"user-agent"), one(b"content-type")
-    head.encoding = (one(b"content-encoding") or "").lower() or None
-    codings = [c.strip().lower() for v in fields.get(b"transfer-encoding", []) for c in v.split(b",") if c.strip()]
+    coding = (one(b"content-encoding") or "").lower()
+    head.encoding = next((c for c in ("gzip", "deflate") if c in coding), None)
+    codings = [c.split(b";")[0].strip().lower() for v in fields.get(b"transfer-encoding", []) for c in v.split(b",")]
     lengths = {v.strip() for x in fields.get(b"content-length", []) for v in x.split(b",")}
     if codings:
-        if b"chunked" in codings[:-1]:
+        if b"" in codings or b"chunked" in codings[:-1]:
             raise Bad("chunked is not last")
+        head.ambiguous = bool(lengths)  # the coding holds, but such a message may be a smuggled one
         head.chunked = codings[-1] == b"chunked"
         head.to_end = not head.chunked
     elif lengths:
@@ -92,14 +95,12 @@ def parse_head(raw: bytes, caps: Caps = Caps()) -> Head:
 def inflate(data: bytes, encoding: str, caps: Caps) -> bytes | None:
     """The decoded body, or None where it is damaged or grows beyond the caps."""
     most = min(caps.decoded, caps.ratio * len(data))
-    for wbits in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(encoding, ()):
-        try:
-            box = zlib.decompressobj(wbits)
-            out = box.decompress(data, most + 1)
-            return out if box.eof and len(out) <= most else None
-        except zlib.error:
-            continue
-    return None
+    try:
+        box = zlib.decompressobj({"gzip": 31, "deflate": 15}[encoding])
+        out = box.decompress(data, most + 1)
+        return out if box.eof and len(out) <= most else None
+    except zlib.error:
+        return None
 
 
 class Half:
@@ -148,7 +149,6 @@ class Half:
             except Bad:
                 self.conn.errors += 1
                 self.synced = False
-                self.take(min(1, len(self.buffer)))
 
     def resync(self) -> bool:
         """Go on at what looks like the start of a message; else keep only what may be the beginning of one."""
@@ -164,16 +164,21 @@ class Half:
         while (end := self.buffer.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
             seen = len(self.buffer)
             if seen > self.conn.caps.header:
+                self.conn.requests.clear()
+                self.take(seen - 48)
                 raise Bad("header too long")
             if self.ended:
                 return None
             began = began if began is not None else self.ts
             yield
-        if end + 4 > self.conn.caps.header:
-            raise Bad("header too long")
-        head = parse_head(bytes(self.buffer[:end]), self.conn.caps)
-        head.ts_ns, head.offset = self.ts, self.at
-        raw = self.take(end + 4)
+        offset, raw = self.at, self.take(end + 4)
+        try:
+            head = parse_head(raw[:-4], self.conn.caps)
+        except Bad:
+            self.conn.requests.clear()  # answers can no longer be told apart
+            raise
+        head.ts_ns, head.offset = self.ts, offset
+        self.conn.errors += head.ambiguous
         self.conn.begin(self, head, raw)
         return head
 
@@ -281,8 +286,10 @@ class Connection:
         return out
 
     def expect(self, method: str) -> None:
-        if len(self.requests) < self.caps.queue:
-            self.requests.append(method)
+        if len(self.requests) >= self.caps.queue:
+            self.requests.popleft()
+            self.errors += 1
+        self.requests.append(method)
 
     def answered(self, status: int) -> str | None:
         if 100 <= status < 200 and status != 101:
@@ -301,10 +308,10 @@ CONTENT = "kind string, flow_id string, ts_ns long, direction string, view strin
 
 
 def parse(chunks: DataFrame, caps: Caps = Caps()) -> DataFrame:
-    """Records (kind content) and messages (kind message) of stream chunks (flow_id, direction, ts_ns, offset, data).
+    """Records (kind content) and messages (kind message) of stream chunks (flow_id, event_no, direction, ts_ns, offset, data).
 
-    Chunks are dealt by flow and sorted by time; one flow is open at a time. Chunks of track() are dealt by flow key already, but flow_id
-    is another key, so one more exchange is needed.
+    Chunks are dealt by flow and taken in the order in which they were given out (event_no), as one that came late keeps its own time. One
+    flow is open at a time. Where frames are at hand, connections.dataflow() parses inside the tracker and saves this exchange.
     """
     types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
     schema = pa.schema([(n, types[t]) for n, t in (f.split() for f in CONTENT.split(", "))])
@@ -330,8 +337,14 @@ def parse(chunks: DataFrame, caps: Caps = Caps()) -> DataFrame:
             conn.finish()
             yield pa.RecordBatch.from_pylist(emit(last, conn), schema=schema)
 
-    cols = ["flow_id", "direction", "ts_ns", "offset", "data"]
-    return chunks.select(*cols).repartition("flow_id").sortWithinPartitions("flow_id", "ts_ns", "offset", "direction").mapInArrow(run, CONTENT)
+    cols = ["flow_id", "event_no", "direction", "ts_ns", "offset", "data"]
+    return chunks.select(*cols).repartition("flow_id").sortWithinPartitions("flow_id", "event_no").mapInArrow(run, CONTENT)
+
+
+def gate(chunks: DataFrame, services: DataFrame) -> DataFrame:
+    """TCP chunks of flows whose service speaks HTTP: the only ones that parse() should see. services has a row for each port, at most 65,536."""
+    ports = F.broadcast(services.where("enabled and http").select("port").distinct())
+    return chunks.where("protocol = 'tcp'").join(ports, F.col("dst_port") == F.col("port"), "left_semi")
 
 
 def content_of(chunks: DataFrame, parsed: DataFrame, services: DataFrame | None = None) -> DataFrame:
