@@ -27,9 +27,21 @@ def cidr(number: Column, prefix: int) -> Column:
     return F.concat(dotted(number.bitwiseAND(F.lit(mask(prefix)).cast("bigint"))), F.lit(f"/{prefix}"))
 
 
+def ip6_hex(text: Column) -> Column:
+    """The 32 hexadecimal digits of an IPv6 address, written out or short, with a dotted tail or without."""
+    tail = F.regexp_extract(text, r"(\d+\.\d+\.\d+\.\d+)$", 1)
+    digits = F.lower(F.lpad(F.hex(ip4(tail)), 8, "0"))
+    plain = F.when(tail != "", F.concat(F.substring(text, F.lit(1), F.length(text) - F.length(tail)), F.substring(digits, 1, 4), F.lit(":"), F.substring(digits, 5, 4))).otherwise(text)
+    sides = F.split(plain, "::")
+    groups = lambda x: F.filter(F.split(F.coalesce(x, F.lit("")), ":"), lambda g: g != "")
+    left, right = groups(F.get(sides, 0)), groups(F.get(sides, 1))
+    zeros = F.array_repeat(F.lit("0"), F.lit(8) - F.size(left) - F.size(right))
+    return F.concat_ws("", F.transform(F.concat(left, zeros, right), lambda g: F.lpad(F.lower(g), 4, "0")))
+
+
 def sortable(text: Column) -> Column:
     """A key that orders addresses as (family, bytes): IPv4 before IPv6."""
-    return F.when(text.contains(":"), F.concat(F.lit("6"), text)).otherwise(F.concat(F.lit("4"), F.lpad(F.hex(ip4(text)), 8, "0")))
+    return F.when(text.contains(":"), F.concat(F.lit("6"), ip6_hex(text))).otherwise(F.concat(F.lit("4"), F.lpad(F.hex(ip4(text)), 8, "0")))
 
 
 def canonical(df: DataFrame, src: str, sport: str, dst: str, dport: str) -> DataFrame:
