@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .addresses import cidr, dotted, mask
+from .addresses import cidr, dotted, mask, parse_target
 
 SECOND = 1_000_000_000
 
@@ -65,35 +65,67 @@ def grand_total(packets: DataFrame) -> DataFrame:
     return packets.agg(F.count("*").alias("packets"), F.sum("wire_len").alias("bytes"), F.count_distinct("ip4").alias("sources"))
 
 
-def longest_prefix(packets: DataFrame, rules: DataFrame, lengths: tuple[int, ...] = (32, 24)) -> DataFrame:
-    """packets with the id of the most specific rule (net, prefix, rule_id) that covers ip4, or null. One equi-join for each length."""
-    out = packets
-    for k in sorted(lengths, reverse=True):
-        own = rules.where(F.col("prefix") == k).select(F.col("net").alias(f"__n{k}"), F.col("rule_id").alias(f"__r{k}"))
-        out = out.join(own, out.ip4.bitwiseAND(F.lit(mask(k)).cast("bigint")) == F.col(f"__n{k}"), "left").drop(f"__n{k}")
-    order = [F.col(f"__r{k}") for k in sorted(lengths, reverse=True)]
+FOREVER = 2**63 - 1
+
+
+def in_force(rules: DataFrame) -> DataFrame:
+    """rules with until_ns: a rule (net, prefix, rule_id, created_ns, expires_ns) holds from created_ns until it expires (0 or null: never),
+    is cleared (cleared_ns, where rules have it), or another is set for its target. So one rule at most holds for a target at any time."""
+    w = Window.partitionBy("net", "prefix").orderBy("created_ns", "rule_id")
+    ends = [F.when(F.col("expires_ns") > 0, F.col("expires_ns")), F.lead("created_ns").over(w), F.lit(FOREVER)]
+    ends += [F.col("cleared_ns")] if "cleared_ns" in rules.columns else []
+    return rules.withColumn("until_ns", F.least(*ends))
+
+
+def longest_prefix(packets: DataFrame, rules: DataFrame) -> DataFrame:
+    """packets with the id of the most specific rule in force that covers ip4, or null: one equi-join for each prefix length that rules have.
+
+    There are 33 lengths at most. A packet stays one row, as one rule at most holds for a target at a time.
+    """
+    lengths = sorted((r[0] for r in rules.select("prefix").distinct().collect()), reverse=True)
+    out, live = packets, in_force(rules)
+    for k in lengths:
+        own = live.where(F.col("prefix") == k).select(F.col("net").alias("__n"), F.col("rule_id").alias(f"__r{k}"), F.col("created_ns").alias("__from"), F.col("until_ns").alias("__until"))
+        fits = (F.col("ip4").bitwiseAND(F.lit(mask(k)).cast("bigint")) == F.col("__n")) & (F.col("ts_ns") >= F.col("__from")) & (F.col("ts_ns") < F.col("__until"))
+        out = out.join(own, fits, "left").drop("__n", "__from", "__until")
+    order = [F.col(f"__r{k}") for k in lengths] or [F.lit(None).cast("bigint")]
     return out.withColumn("rule_id", F.coalesce(*order)).drop(*[f"__r{k}" for k in lengths])
 
 
-def rule_counters(packets: DataFrame, rules: DataFrame, lengths: tuple[int, ...] = (32, 24)) -> DataFrame:
-    """Seen and dropped packets and bytes of each rule in force when the packet came. A hash of the frame decides on drops."""
-    hit = longest_prefix(packets, rules, lengths).where("rule_id is not null").join(rules.select("rule_id", "drop_percent", "created_ns", "expires_ns"), "rule_id")
-    hit = hit.where((F.col("ts_ns") >= F.col("created_ns")) & (F.col("ts_ns") < F.col("expires_ns")))
-    drop = (F.col("frame_no") * 7919) % 100 < F.col("drop_percent")
+def sampled(key: Column, percent: Column) -> Column:
+    """True for about percent of all keys, by a hash: the first 32 bits of the md5 of the key as text."""
+    return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint") * 100 < percent.cast("bigint") * F.lit(1 << 32)
+
+
+def rule_counters(packets: DataFrame, rules: DataFrame) -> DataFrame:
+    """Seen and dropped packets and bytes of each rule, of packets that came while it held. A rule that drops nothing counts nothing."""
+    hit = longest_prefix(packets, rules).where("rule_id is not null").join(rules.where("drop_percent > 0").select("rule_id", "drop_percent"), "rule_id")
+    drop = sampled(F.col("frame_no"), F.col("drop_percent"))
     return hit.groupBy("rule_id").agg(F.count("*").alias("seen_packets"), F.sum("wire_len").alias("seen_bytes"), F.count_if(drop).alias("dropped_packets"), F.sum(F.when(drop, F.col("wire_len")).otherwise(0)).alias("dropped_bytes"))
 
 
 def active_rules(rules: DataFrame, at_ns: int) -> DataFrame:
-    """Rules in force at a time; of rules set for one target, the last, which began its counters and its time anew."""
-    last = Window.partitionBy("net", "prefix").orderBy(F.desc("created_ns"), F.desc("rule_id"))
-    return rules.where(F.col("created_ns") <= at_ns).withColumn("__n", F.row_number().over(last)).where((F.col("__n") == 1) & (F.col("expires_ns") > at_ns)).drop("__n")
+    """Rules in force at a time."""
+    return in_force(rules).where((F.col("created_ns") <= at_ns) & (F.col("until_ns") > at_ns)).drop("until_ns")
 
 
 def audit(rules: DataFrame, now_ns: int, most: int = 32) -> DataFrame:
-    """The last events of the rules: set, and expire where it has come."""
-    made = rules.select("rule_id", F.lit("set").alias("event"), F.col("created_ns").alias("at_ns")).where(F.col("at_ns") <= now_ns)
-    gone = rules.select("rule_id", F.lit("expire").alias("event"), F.col("expires_ns").alias("at_ns")).where(F.col("at_ns") <= now_ns)
-    return made.unionByName(gone).orderBy(F.desc("at_ns"), F.desc("rule_id"), "event").limit(most)
+    """The last events of the rules: set; clear, where they were taken back; expire, where their time came while they held."""
+    live = in_force(rules)
+    event = lambda name, time, test: live.where(test).select("rule_id", F.lit(name).alias("event"), F.col(time).alias("at_ns"))
+    out = event("set", "created_ns", F.lit(True)).unionByName(event("expire", "expires_ns", F.col("until_ns") == F.col("expires_ns")))
+    if "cleared_ns" in rules.columns:
+        out = out.unionByName(event("clear", "cleared_ns", (F.col("until_ns") == F.col("cleared_ns")) & ~F.col("until_ns").eqNullSafe(F.col("expires_ns"))))
+    return out.where(F.col("at_ns") <= now_ns).orderBy(F.desc("at_ns"), F.desc("rule_id"), "event").limit(most)
+
+
+def valid_rule(target: str, drop_percent: int, ttl_s: int, group_prefix: int = 24, most_ttl_s: int = 86_400) -> str:
+    """The target of a rule in canonical form. ValueError for another target, a percentage outside 1..100, or a time outside 1..most_ttl_s."""
+    if not 1 <= drop_percent <= 100:
+        raise ValueError("drop_percent must be 1 to 100")
+    if not 1 <= ttl_s <= most_ttl_s:
+        raise ValueError(f"ttl_s must be 1 to {most_ttl_s}")
+    return parse_target(target, group_prefix)
 
 
 def counter_rate(samples: DataFrame, keys: list[str], value: str, time: str = "ts_ns", order: str = "frame_no") -> DataFrame:
@@ -103,6 +135,18 @@ def counter_rate(samples: DataFrame, keys: list[str], value: str, time: str = "t
     return samples.withColumn("rate", F.when(dt > 0, F.greatest(F.lit(0.0), (F.col(value) - F.lag(value).over(w)) / dt)))
 
 
+def stream_rates(samples: DataFrame, time: str = "ts_ns", order: str = "frame_no", keys: list[str] | None = None) -> DataFrame:
+    """samples (counters flows_opened, flows_closed, packets) with streams_per_minute since the sample before and packets_per_flow so far.
+
+    keys part the samples by what is counted (a capture, a host); without them all are one series, a row for each sample.
+    """
+    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(time, order)
+    ms = (F.col(time) - F.lag(time).over(w)) / 1_000_000
+    grown = F.col("flows_opened") - F.lag("flows_opened").over(w)
+    each = F.when(F.col("flows_closed") > 0, F.col("packets") / F.col("flows_closed"))
+    return samples.withColumn("streams_per_minute", F.when(ms > 0, F.greatest(F.lit(0.0), grown * 60_000 / ms))).withColumn("packets_per_flow", each)
+
+
 def severity(value: Column, warn: float, danger: float) -> Column:
     return F.when(value >= danger, "danger").when(value >= warn, "warn").otherwise("ok")
 
