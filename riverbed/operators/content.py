@@ -9,6 +9,8 @@ WIRE_VIEWS = ("http_request_headers", "http_request_body", "http_response_header
 REQUEST_VIEWS = ("http_request_headers", "http_request_body", "http_request_decoded_body")
 RESPONSE_VIEWS = ("http_response_headers", "http_response_body", "http_response_decoded_body")
 KEYS = ["flow_id", "direction"]
+#: Bytes of a stream that one bin of the overlap join covers.
+BIN = 65_536
 
 
 def with_range(content: DataFrame) -> DataFrame:
@@ -28,8 +30,12 @@ def merged_ranges(content: DataFrame) -> DataFrame:
 def hidden_raw(content: DataFrame) -> DataFrame:
     """Raw records that lie in one island as a whole; empty ones never do."""
     raw = with_range(content).where("view = 'tcp_raw' and payload_len > 0")
-    c = merged_ranges(content).select(*KEYS, F.col("s").alias("cs"), F.col("e").alias("ce"))
-    return raw.join(c, KEYS).where("cs <= s and ce >= e").select(*content.columns)
+    # islands lie apart and in order, so the last one that begins at or before a record is the only one that can hold it
+    islands = merged_ranges(content).select(*KEYS, "s", F.col("e").alias("__end"))
+    rows = raw.select(*KEYS, "s", F.lit(None).cast("bigint").alias("__end"), F.struct(*content.columns).alias("__row"))
+    w = Window.partitionBy(*KEYS).orderBy("s", F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = islands.unionByName(rows, allowMissingColumns=True).withColumn("__cover", F.last("__end", ignorenulls=True).over(w))
+    return both.where(F.col("__row").isNotNull() & (F.col("__cover") >= F.col("__row.stream_offset") + F.col("__row.payload_len"))).select("__row.*")
 
 
 def visible(content: DataFrame) -> DataFrame:
@@ -47,7 +53,10 @@ def projected_hits(content: DataFrame, matches: DataFrame) -> DataFrame:
     direct = matches.join(shown.select("content_id"), "content_id", "left_semi").select(F.col("content_id").alias("target_id"), *cols)
     moved = matches.drop("flow_id").join(hidden, "content_id")
     target = shown.where(F.col("view").isin(*WIRE_VIEWS)).select(F.col("content_id").alias("target_id"), *KEYS, "s", "e")
-    over = moved.join(target, KEYS).where("offset_start < e and offset_end > s").select("target_id", *cols)
+    # only records and hits that share a bin of the stream meet; a hit that is met in two bins counts once in the end
+    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / BIN), F.floor(F.greatest(F.col(b) - 1, F.col(a)) / BIN))).alias("__bin")
+    over = moved.select("*", bins("offset_start", "offset_end")).join(target.select("*", bins("s", "e")), [*KEYS, "__bin"])
+    over = over.where("offset_start < e and offset_end > s").select("target_id", *cols)
     return direct.unionByName(over).dropDuplicates()
 
 

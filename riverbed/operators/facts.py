@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Sorting key of each fact table; the row inserted last wins.
@@ -57,6 +57,24 @@ def storage_stats(parts: DataFrame) -> DataFrame:
     return parts.rollup("table").agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.count("*").alias("parts"))
 
 
+def storage_report(stores: dict[str, DataFrame]) -> DataFrame:
+    """storage_stats() of several stores (name: listing of parts) with their totals (table null) and the total of all (store null)."""
+    every = None
+    for name, parts in stores.items():
+        rows = parts.select(F.lit(name).alias("store"), "table", F.col("rows").cast("bigint").alias("rows"), F.col("bytes").cast("bigint").alias("bytes"))
+        every = rows if every is None else every.unionByName(rows)
+    return every.rollup("store", "table").agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.count("*").alias("parts"))
+
+
+def remove_files(spark: SparkSession, paths: DataFrame, path: str = "segment_path") -> int:
+    """Remove the files of wholly_old() from whatever store they lie in; how many there were. Paths come to the driver a partition at a time."""
+    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    for row in paths.select(path).toLocalIterator():
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(row[0])
+        n += bool(at.getFileSystem(conf).delete(at, False))
+    return n
+
+
 def keep_since(df: DataFrame, time: str, cutoff_ns: int | Column) -> DataFrame:
     """What a retention run leaves: rows strictly older than the cutoff go."""
     return df.where(F.col(time) >= cutoff_ns)

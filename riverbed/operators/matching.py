@@ -49,20 +49,19 @@ def expanded(patterns: DataFrame) -> DataFrame:
 def interesting(content: DataFrame, patterns: DataFrame) -> DataFrame:
     """Content that some enabled pattern, global or of the record's service, looks at."""
     at = expanded(patterns).select(F.col("scan_view").alias("view"), F.col("service").alias("__service")).distinct()
-    return content.join(F.broadcast(at), (content.view == at.view) & (at["__service"].isNull() | (at["__service"] == content.service)), "left_semi")
+    return content.join(at, (content.view == at.view) & (at["__service"].isNull() | (at["__service"] == content.service)), "left_semi")
 
 
-def byte_offset(text: Column, position: Column) -> Column:
-    """Bytes before a character position (from 1) of a text."""
-    return F.octet_length(F.substring(text, F.lit(1), position - 1)).cast("bigint")
-
-
-def first_hits(content: DataFrame, patterns: DataFrame) -> DataFrame:
-    """First hit of each text pattern (columns id, expression; a small table) in column text of content: byte offsets in the stream."""
-    pos = F.call_function("instr", content.text, F.col("expression"))
-    joined = content.join(F.broadcast(patterns.select("id", "expression", "scan_view")), (F.col("view") == F.col("scan_view")) & content.text.contains(F.col("expression")))
-    start = F.col("stream_offset") + byte_offset(F.col("text"), F.col("__pos"))
-    return joined.withColumn("__pos", pos).select("content_id", F.col("id").alias("pattern_id"), start.alias("offset_start"), (start + F.octet_length("expression")).alias("offset_end"))
+def literal_hits(content: DataFrame, patterns: DataFrame) -> DataFrame:
+    """All hits of each text pattern (id, expression, scan_view) in column text of content, without overlap: byte offsets in the stream."""
+    joined = content.join(patterns.select("id", "expression", "scan_view"), (F.col("view") == F.col("scan_view")) & content.text.contains(F.col("expression")))
+    pieces = F.split(F.col("text"), F.concat(F.lit("\\Q"), F.col("expression"), F.lit("\\E")), F.lit(-1))
+    size = F.octet_length("expression").cast("bigint")
+    start = F.struct((F.col("stream_offset") - size).alias("at"), F.array().cast("array<bigint>").alias("out"))
+    step = lambda acc, x: F.struct((acc["at"] + size + F.octet_length(x)).alias("at"), F.array_append(acc["out"], acc["at"] + size + F.octet_length(x)).alias("out"))
+    ends = F.slice(F.aggregate(pieces, start, step, lambda acc: acc["out"]), F.lit(1), F.size(pieces) - 1)
+    found = joined.select("content_id", F.col("id").alias("pattern_id"), F.explode(ends).alias("offset_start"), size.alias("__size"))
+    return found.withColumn("offset_end", F.col("offset_start") + F.col("__size")).drop("__size")
 
 
 def literal_counts(content: DataFrame, literal: str) -> DataFrame:
@@ -101,6 +100,10 @@ class Group:
             else:
                 self.literals.append((k, p["expression"].encode() if p["kind"] == "text" else binary_literal(p["expression"])))
         self.longest = max((len(b) for _, b in self.literals), default=0)
+        try:  # one look for all expressions: most records hold none
+            self.any_regex = re.compile(b"|".join(b"(?:" + r.pattern + b")" for _, r in self.regexes))
+        except re.error:  # names that two of them use, or flags
+            self.any_regex = None
         self.ends = None
         if self.literals:
             found: dict[str, tuple[int, int]] = {}
@@ -162,7 +165,7 @@ def scan_record(group: Group, data: bytes, before: bytes, offset: int, taken: di
         for k, a, b in group.find(data):
             yield k, offset + a, offset + b
         joint = before + data
-        for k, r in group.regexes:
+        for k, r in group.regexes if group.any_regex is None or group.any_regex.search(joint) else ():
             for m in r.finditer(joint):
                 if m.end() > len(before) or not before:
                     yield k, offset - len(before) + m.start(), offset - len(before) + m.end()
@@ -212,29 +215,66 @@ class Matcher:
         return out
 
 
-def scan(content: DataFrame, patterns: list[dict], limits: Limits = Limits(), historical: bool = False) -> DataFrame:
-    """Hits of all patterns (dicts of their columns; a small set) in content, streams scanned in order.
+TAILS = "flow_id string, direction string, view string, end_at long, tail binary, last_ns long"
+STREAM = ["flow_id", "direction", "view"]
+
 
-    Records are dealt by stream and sorted, then read in Arrow batches: one record and one tail are held at a time.
+def schema_of(fields: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
+    return pa.schema([(n, kinds[t]) for n, t in (f.split() for f in fields.split(", "))])
+
+
+def carried(content: DataFrame, patterns: list[dict], tails: DataFrame | None = None, limits: Limits = Limits(), historical: bool = False) -> DataFrame:
+    """Hits, and tails for a scan that goes on later: kind hit with the columns of HITS, kind tail with those of TAILS.
+
+    patterns are dicts of their columns, a small set. tails are those of an earlier scan. Records are dealt by stream and sorted, then read
+    in Arrow batches: one record and one tail are held at a time.
     """
-    cols = ["flow_id", "direction", "view", "stream_offset", "content_id", "service", "ts_ns", "data"]
-    names = [f.split()[0] for f in HITS.split(", ")]
+    fields = "kind string, " + HITS + ", direction string, end_at long, tail binary, last_ns long"
+    schema = schema_of(fields)
 
     def run(batches):
-        m, last = Matcher(patterns, limits, historical), None
+        m, last, at = Matcher(patterns, limits, historical), None, 0
+
+        def left():
+            return [{"kind": "tail", **dict(zip(STREAM, k, strict=True)), "end_at": end, "tail": tail, "last_ns": at} for k, (end, tail) in m.tails.items()]
+
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                key = (r["flow_id"], r["direction"], r["view"])
+                key = tuple(r[c] for c in STREAM)
                 if key != last:
+                    out += left()
                     m.tails.clear()
-                    last = key
-                out += m.feed(r)
-            yield pa.RecordBatch.from_pydict({n: [h[n] for h in out] for n in names}, schema=pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[f.split()[1]]) for n, f in zip(names, HITS.split(", "), strict=True)]))
+                    last, at = key, 0
+                at = max(at, r["ts_ns"] or 0)
+                if r["seed"]:
+                    m.tails[key] = r["stream_offset"], r["data"] or b""
+                else:
+                    out += [{"kind": "hit", **h} for h in m.feed(r)]
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+        yield pa.RecordBatch.from_pylist(left(), schema=schema)
 
     views = sorted({v for p in patterns for v in views_of(p["direction_type"], p.get("view"))})
-    wanted = content.where(F.col("view").isin(*views)) if views else content.where("false")
-    return wanted.select(*cols).repartition("flow_id", "direction", "view").sortWithinPartitions("flow_id", "direction", "view", "stream_offset", "content_id").mapInArrow(run, HITS)
+    cols = [*STREAM, "stream_offset", "content_id", "service", "ts_ns", "data"]
+    rows = (content.where(F.col("view").isin(*views)) if views else content.where("false")).select(*cols, F.lit(False).alias("seed"))
+    if tails is not None:
+        none = F.lit(None).cast("string")
+        rows = rows.unionByName(tails.select(*STREAM, F.col("end_at").alias("stream_offset"), none.alias("content_id"), none.alias("service"), F.col("last_ns").alias("ts_ns"), F.col("tail").alias("data"), F.lit(True).alias("seed")))
+    return rows.repartition(*STREAM).sortWithinPartitions(*STREAM, F.desc("seed"), "stream_offset", "content_id").mapInArrow(run, fields)
+
+
+def hits_of(found: DataFrame) -> DataFrame:
+    return found.where("kind = 'hit'").select(*[f.split()[0] for f in HITS.split(", ")])
+
+
+def tails_of(found: DataFrame) -> DataFrame:
+    return found.where("kind = 'tail'").select(*[f.split()[0] for f in TAILS.split(", ")])
+
+
+def scan(content: DataFrame, patterns: list[dict], limits: Limits = Limits(), historical: bool = False) -> DataFrame:
+    """Hits of all patterns in content, streams scanned in order."""
+    return hits_of(carried(content, patterns, None, limits, historical))
 
 
 def replay(content: DataFrame, patterns: list[dict], until_seq: int | None = None, done: DataFrame | None = None) -> DataFrame:

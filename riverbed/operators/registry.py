@@ -57,6 +57,34 @@ def validate(kind: str, expression: str, action: str = "find", direction: str =
         re.compile(expression.encode())
 
 
+def valid_service(port: int, name: str) -> None:
+    """ValueError for a port that is none, or a name that is blank or longer than 64 characters."""
+    if not 1 <= port <= 65535:
+        raise ValueError("port must be 1 to 65535")
+    if not name.strip() or len(name) > 64:
+        raise ValueError("name must have 1 to 64 characters")
+
+
+def with_pattern(patterns: DataFrame, new: dict) -> DataFrame:
+    """patterns and the next revision of a pattern (its columns but revision; the first one where its id is new). ValueError if invalid."""
+    validate(new["kind"], new["expression"], new["action"], new["direction_type"])
+    own = patterns.where(F.col("id") == new["id"]).agg((F.coalesce(F.max("revision"), F.lit(0)) + 1).alias("revision"))
+    kinds = dict(patterns.dtypes)
+    return patterns.unionByName(own.select(*[F.col("revision").cast(kinds[c]).alias(c) if c == "revision" else F.lit(new.get(c)).cast(kinds[c]).alias(c) for c in patterns.columns]))
+
+
+def lookback_job(patterns: DataFrame, pattern_id: str, segments: DataFrame, since_ns: int, now_ns: int) -> DataFrame:
+    """The queued replay job (id, status, created_at, pattern_id, pattern_revision, segment_paths) for a pattern that was just changed.
+
+    It pins the pattern's last revision and the segments (path, newest_ns) that may hold content since since_ns; no row where the pattern is
+    disabled or nothing is to be read.
+    """
+    paths = segments.where(F.col("newest_ns") >= since_ns).agg(F.array_sort(F.collect_list("path")).alias("segment_paths")).where(F.size("segment_paths") > 0)
+    own = enabled_patterns(patterns).where(F.col("id") == pattern_id).select(F.col("id").alias("pattern_id"), F.col("revision").alias("pattern_revision"), F.lit(1).alias("__k"))
+    job = own.join(paths.withColumn("__k", F.lit(1)), "__k")
+    return job.select(F.concat_ws("-", F.lit("replay"), "pattern_id", "pattern_revision", F.lit(now_ns)).alias("id"), F.lit("queued").alias("status"), F.lit(now_ns).cast("bigint").alias("created_at"), "pattern_id", "pattern_revision", "segment_paths")
+
+
 def list_services(services: DataFrame) -> DataFrame:
     return services.where("enabled").orderBy("port")
 
@@ -78,6 +106,38 @@ def list_jobs(jobs: DataFrame, most: int = 100) -> DataFrame:
     return jobs.orderBy(F.desc("created_at"), "id").limit(most)
 
 
+#: What a job may become.
+MOVES = {"queued": {"running", "failed"}, "running": {"queued", "completed", "failed"}, "completed": set(), "failed": {"queued"}}
+
+
+def progress(jobs: DataFrame, changes: DataFrame) -> DataFrame:
+    """jobs after status changes (id, status, at_ns), taken in their order; a change that MOVES does not allow is left out.
+
+    A job has a handful of changes, so they are folded over as one array.
+    """
+    moves = F.create_map(*[x for k, v in MOVES.items() for x in (F.lit(k), F.array(*map(F.lit, sorted(v))).cast("array<string>"))])
+    steps = changes.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at_ns", "status"))).alias("__steps"))
+    fold = F.aggregate(F.coalesce("__steps", F.array().cast("array<struct<at_ns:bigint,status:string>>")), F.col("status"), lambda now, x: F.when(F.array_contains(F.element_at(moves, now), x["status"]), x["status"]).otherwise(now))
+    return jobs.join(steps, "id", "left").withColumn("status", fold).select(*jobs.columns)
+
+
+def resumed(jobs: DataFrame, done: DataFrame, segments: DataFrame) -> DataFrame:
+    """jobs as they are taken up again: running ones are queued, and one that has still to read a segment that is gone has failed.
+
+    done: (id, path) read to the end; segments: (path) that there are.
+    """
+    gone = remaining_segments(jobs, done).join(segments.select("path"), "path", "left_anti").select("id").distinct().withColumn("__gone", F.lit(True))
+    status = F.when(F.col("__gone") & F.col("status").isin("queued", "running"), "failed").when(F.col("status") == "running", "queued").otherwise(F.col("status"))
+    return jobs.join(gone, "id", "left").withColumn("status", status).select(*jobs.columns)
+
+
+def checkpoints(hits: DataFrame, read: DataFrame) -> DataFrame:
+    """(id, path, hits) of segments that a job has read to the end, with the hits that it wrote: a segment counts as done only when its
+    hits are written. hits: (id, path) for each hit; read: (id, path)."""
+    n = hits.groupBy("id", "path").agg(F.count("*").alias("hits"))
+    return read.select("id", "path").distinct().join(n, ["id", "path"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)).cast("bigint"))
+
+
 def remaining_segments(jobs: DataFrame, done: DataFrame) -> DataFrame:
     """(id, path) that a job which is to be taken up again has still to read."""
     todo = jobs.where(F.col("status").isin("queued", "running")).select("id", F.explode("segment_paths").alias("path"))
