@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import sessions
@@ -10,7 +10,20 @@ from ..operators import sessions
 IDLE_NS = 43_200_000_000_000
 SERVICES = ((8080, "web", True, True), (8081, "shop", True, True), (8082, "pay", True, False), (8083, "auth", True, True), (8084, "old", False, True))
 PATTERNS = (("p1", 1, "the", "text", "find", "both", None, None, True), ("p1", 2, "and", "text", "find", "both", None, None, True), ("p2", 1, "er", "text", "find", "input", "web", None, True), ("p3", 1, "[0-9]+", "regex", "find", "output", None, None, True), ("p4", 1, "6f 6e", "binary", "ignore", "both", None, "tcp_raw", True), ("p5", 1, "in", "text", "find", "both", None, None, True), ("p5", 2, "in", "text", "find", "both", None, None, False), ("p6", 3, "st", "text", "ignore", "output", None, "tcp_raw", True), ("p7", 1, "of", "text", "ignore", "input", None, None, True))
-RULES = ((1, "10.1.1.0", 24, 30, 0, 4102444800000000000), (2, "10.1.1.1", 32, 60, 0, 4102444800000000000), (3, "10.2.3.0", 24, 10, 0, 4102444800000000000), (4, "10.3.5.0", 24, 100, 0, 1704844800000000000), (5, "10.0.0.7", 32, 50, 1704067200000000000, 1704931200000000000))
+#: rule, network, prefix, percent, set, expires, cleared: all lengths, one that ran out inside a live network, one set again, one cleared, one that drops nothing.
+RULES = (
+    (1, "10.1.1.0", 24, 30, 0, 4102444800000000000, None),
+    (2, "10.1.1.1", 32, 60, 0, 4102444800000000000, None),
+    (3, "10.2.3.0", 24, 10, 0, 4102444800000000000, None),
+    (4, "10.3.5.0", 24, 100, 0, 1704844800000000000, None),
+    (5, "10.0.0.7", 32, 50, 1704067200000000000, 1704931200000000000, None),
+    (6, "10.2.0.0", 16, 20, 0, 0, None),
+    (7, "10.1.1.0", 24, 45, 1704700000000000000, 4102444800000000000, None),
+    (8, "10.2.3.9", 32, 80, 0, 1704300000000000000, None),
+    (9, "10.0.1.0", 24, 0, 0, 4102444800000000000, None),
+    (10, "10.3.0.0", 17, 35, 1704100000000000000, 4102444800000000000, 1704500000000000000),
+    (11, "10.3.5.0", 24, 15, 1705000000000000000, 4102444800000000000, None),
+)
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -36,7 +49,7 @@ def patterns(spark: SparkSession) -> DataFrame:
 def rules(spark: SparkSession) -> DataFrame:
     from ..operators.addresses import ip4
 
-    df = literal(spark, RULES, "rule_id long, net_text string, prefix int, drop_percent int, created_ns long, expires_ns long")
+    df = literal(spark, RULES, "rule_id long, net_text string, prefix int, drop_percent int, created_ns long, expires_ns long, cleared_ns long")
     return df.withColumn("net", ip4(F.col("net_text"))).drop("net_text")
 
 
@@ -75,7 +88,7 @@ def http_messages(spark: SparkSession, d: str) -> DataFrame:
     """Pages as requests of flows: page n belongs to session 1 of user n modulo 97."""
     p = table(spark, d, "pages")
     k = F.col("page_id")
-    ua = F.element_at(F.array(*map(F.lit, ("python-requests/2.32", "curl/8.1", "", "Mozilla/5.0 (X11)"))), (k % 4 + 1).cast("int"))
+    ua = F.element_at(F.array(*map(F.lit, ("courier/5.1", "fetcher/0.9", "", "Mozilla/5.0 (X11)"))), (k % 4 + 1).cast("int"))
     return p.select(k.cast("string").alias("id"), F.concat_ws("-", F.lit("f"), (k % 97).cast("string"), F.lit("1")).alias("flow_id"), (k * 1_000_000_000).alias("ts_ns"), (k % 2 == 0).alias("request"), F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), F.regexp_extract("url", "^[a-z]+://[^/]+(/.*)$", 1).alias("path"), F.when(k % 5 == 0, F.lit(None)).otherwise(ua).alias("user_agent"), F.when(k % 2 == 1, 200).alias("status"), F.when(k % 2 == 0, "GET").alias("method"))
 
 
@@ -110,13 +123,13 @@ def content_hits(spark: SparkSession, d: str) -> DataFrame:
     return c.select(F.lit("p1").alias("pattern_id"), F.lit(1).cast("bigint").alias("pattern_revision"), "flow_id", "content_id", F.col("stream_offset").alias("offset_start"), (F.col("stream_offset") + 4).alias("offset_end"), F.lit(False).alias("historical"))
 
 
-LONG = {"revision", "rule_id", "created_at", "created_ns", "expires_ns", "depth", "capacity"}
+LONG = {"revision", "rule_id", "created_at", "created_ns", "expires_ns", "cleared_ns", "at_ns", "depth", "capacity"}
 
 
 def _values(rows: tuple, names: str) -> str:
     def show(v, name: str) -> str:
         if v is None:
-            return "NULL"
+            return "CAST(NULL AS BIGINT)" if name in LONG else "NULL"
         text = str(v).lower() if isinstance(v, bool) else f"'{v}'" if isinstance(v, str) else str(v)
         return f"CAST({text} AS BIGINT)" if name in LONG else text
 
@@ -128,7 +141,8 @@ def _values(rows: tuple, names: str) -> str:
 PRELUDE: dict[str, tuple[tuple[str, ...], str]] = {
     "services": ((), _values(SERVICES, "port, name, enabled, http")),
     "patterns": ((), _values(PATTERNS, "id, revision, expression, kind, action, direction_type, service, view, enabled")),
-    "rules": ((), "SELECT rule_id, prefix, drop_percent, created_ns, expires_ns, CAST(split_part(net_text, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(net_text, '.', 2) AS BIGINT) * 65536 + CAST(split_part(net_text, '.', 3) AS BIGINT) * 256 + CAST(split_part(net_text, '.', 4) AS BIGINT) AS net FROM (" + _values(RULES, "rule_id, net_text, prefix, drop_percent, created_ns, expires_ns") + ")"),
+    "rules": ((), "SELECT rule_id, prefix, drop_percent, created_ns, expires_ns, cleared_ns, CAST(split_part(net_text, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(net_text, '.', 2) AS BIGINT) * 65536 + CAST(split_part(net_text, '.', 3) AS BIGINT) * 256 + CAST(split_part(net_text, '.', 4) AS BIGINT) AS net FROM (" + _values(RULES, "rule_id, net_text, prefix, drop_percent, created_ns, expires_ns, cleared_ns") + ")"),
+    "force": (("rules",), "SELECT *, least(CASE WHEN expires_ns > 0 THEN expires_ns END, lead(created_ns) OVER (PARTITION BY net, prefix ORDER BY created_ns, rule_id), cleared_ns, 9223372036854775807) AS until_ns FROM rules"),
     "packets": ((), """SELECT frame_no, ts_ns, user_id, CASE WHEN reply THEN '192.168.0.10' ELSE c_ip END AS src_ip, CASE WHEN reply THEN c_ip ELSE '192.168.0.10' END AS dst_ip,
       CASE WHEN reply THEN service_port ELSE c_port END AS src_port, CASE WHEN reply THEN c_port ELSE service_port END AS dst_port, protocol, NOT reply AS a_to_b, ip4, wire_len, payload_len, service_port
       FROM (SELECT event_id AS frame_no, epoch_us(ts) * 1000 AS ts_ns, user_id, event_id % 3 = 0 AS reply, concat('10.', user_id % 4, '.', user_id % 7, '.', user_id % 50) AS c_ip, CAST(20000 + user_id % 30000 AS INTEGER) AS c_port,
@@ -143,7 +157,7 @@ PRELUDE: dict[str, tuple[tuple[str, ...], str]] = {
         CAST(sum(CASE WHEN a_to_b THEN payload_len ELSE 0 END) AS BIGINT) AS ba, CAST(sum(CASE WHEN a_to_b THEN 0 ELSE payload_len END) AS BIGINT) AS bb, count(*) FILTER (WHERE payload_len > 0) AS np FROM sess GROUP BY ALL) AS g
       LEFT JOIN services AS s1 ON s1.enabled AND s1.port = dst_port LEFT JOIN services AS s2 ON s2.enabled AND s2.port = src_port WHERE np > 0"""),
     "http_messages": ((), """SELECT CAST(page_id AS VARCHAR) AS id, concat('f-', page_id % 97, '-1') AS flow_id, page_id * 1000000000 AS ts_ns, page_id % 2 = 0 AS request, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/]+(/.*)$', 1) AS path,
-      CASE WHEN page_id % 5 = 0 THEN NULL ELSE (['python-requests/2.32', 'curl/8.1', '', 'Mozilla/5.0 (X11)'])[page_id % 4 + 1] END AS user_agent, CASE WHEN page_id % 2 = 1 THEN 200 END AS status, CASE WHEN page_id % 2 = 0 THEN 'GET' END AS method FROM pages"""),
+      CASE WHEN page_id % 5 = 0 THEN NULL ELSE (['courier/5.1', 'fetcher/0.9', '', 'Mozilla/5.0 (X11)'])[page_id % 4 + 1] END AS user_agent, CASE WHEN page_id % 2 = 1 THEN 200 END AS status, CASE WHEN page_id % 2 = 0 THEN 'GET' END AS method FROM pages"""),
     "matches": ((), """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY pattern_id, pattern_revision, content_id, offset_start ORDER BY ingest_seq DESC) AS rn FROM (
       SELECT concat('p', event_id % 7 + 1) AS pattern_id, event_id % 2 + 1 AS pattern_revision, concat('f-', user_id % 97, '-', event_id % 2 + 1) AS flow_id, CAST(event_id % 500 AS VARCHAR) AS content_id, CASE WHEN event_id % 11 = 0 THEN 'ignore' ELSE 'find' END AS action,
       event_id * 1000 AS ts_ns, event_id % 3 AS offset_start, event_id % 3 + 4 AS offset_end, event_id % 2 = 0 AS historical, event_id AS ingest_seq FROM events)) WHERE rn = 1"""),
@@ -153,13 +167,14 @@ PRELUDE: dict[str, tuple[tuple[str, ...], str]] = {
     "turns": ((), "SELECT *, CAST(coalesce(sum(payload_len) OVER (PARTITION BY conv_id, direction ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS stream_offset FROM (SELECT conv_id, turn, coalesce(text, '') AS text, CASE WHEN role = 'user' THEN 'a_to_b' ELSE 'b_to_a' END AS direction, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS payload_len FROM conversations)"),
     "content": (("turns",), """SELECT concat(kind, '-', conv_id, '-', turn) AS content_id, concat('f-', conv_id, '-1') AS flow_id, direction, CASE WHEN kind = 'r' THEN 'tcp_raw' WHEN direction = 'a_to_b' THEN 'http_request_body' ELSE 'http_response_body' END AS view, stream_offset, payload_len, text, turn * 1000 AS ts_ns, concat('seg-', conv_id % 5) AS segment_path, conv_id AS ingest_seq
       FROM turns CROSS JOIN (VALUES ('r'), ('h')) AS k(kind) WHERE kind = 'r' OR turn % 2 = 0"""),
+    "whole": (("content",), "SELECT flow_id, direction, string_agg(text, '' ORDER BY stream_offset, content_id) AS text FROM content WHERE view = 'tcp_raw' GROUP BY flow_id, direction"),
     "hits": (("content",), "SELECT 'p1' AS pattern_id, CAST(1 AS BIGINT) AS pattern_revision, flow_id, content_id, stream_offset AS offset_start, stream_offset + 4 AS offset_end, false AS historical FROM content WHERE view = 'tcp_raw' AND payload_len >= 4 AND ingest_seq % 3 = 0"),
     "ranges": (("content",), """SELECT flow_id, direction, min(s) AS s, max(e) AS e FROM (SELECT *, sum(fresh) OVER (PARTITION BY flow_id, direction ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM (
       SELECT flow_id, direction, stream_offset AS s, stream_offset + payload_len AS e, CASE WHEN stream_offset <= max(stream_offset + payload_len) OVER (PARTITION BY flow_id, direction ORDER BY stream_offset, stream_offset + payload_len ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh
       FROM content WHERE view <> 'tcp_raw' AND payload_len > 0)) GROUP BY flow_id, direction, island"""),
     "hidden": (("content", "ranges"), "SELECT DISTINCT c.content_id FROM content AS c JOIN ranges AS r ON c.flow_id = r.flow_id AND c.direction = r.direction AND r.s <= c.stream_offset AND r.e >= c.stream_offset + c.payload_len WHERE c.view = 'tcp_raw' AND c.payload_len > 0"),
     "sources": (("packets",), "SELECT ip4, count(*) AS packets, CAST(sum(wire_len) AS BIGINT) AS bytes, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns FROM packets GROUP BY ip4"),
-    "ruled": (("packets", "rules"), "SELECT p.*, coalesce(r32.rule_id, r24.rule_id) AS rule_id FROM packets AS p LEFT JOIN rules AS r32 ON r32.prefix = 32 AND r32.net = p.ip4 LEFT JOIN rules AS r24 ON r24.prefix = 24 AND r24.net = p.ip4 - p.ip4 % 256"),
+    "ruled": (("packets", "force"), "SELECT p.*, (SELECT arg_max(rule_id, prefix) FROM force AS r WHERE p.ip4 >= r.net AND p.ip4 < r.net + (CAST(1 AS BIGINT) << (32 - r.prefix)) AND p.ts_ns >= r.created_ns AND p.ts_ns < r.until_ns) AS rule_id FROM packets AS p"),
 }
 
 

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import content as C
-from ..operators import addresses, decode, facts, http1, matching, registry, sessions, topology
+from ..operators import addresses, connections, facts, http1, matching, registry, sessions, topology
 from ..operators import flows as FL
 from ..operators.flows import TrafficFilter
 from ..sources import files
 from . import adapters as A
-from . import fixtures
+from . import traffic
 from .adapters import oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,21 +59,21 @@ flow_query("flow_list_by_endpoint", TrafficFilter(src_ip="10.1.1.1", dst_ip="192
 flow_query("flow_list_by_time_range", TrafficFilter(from_ns=NOW, to_ns=NOW + 3 * DAY, limit=200, offset=10), f"started_ns >= {NOW} AND started_ns <= {NOW + 3 * DAY}")
 flow_query("flow_list_ignore", TrafficFilter(limit=500), "flow_id NOT IN (SELECT m.flow_id FROM matches AS m JOIN ignores AS i ON m.pattern_id = i.pattern_id AND m.pattern_revision = i.pattern_revision WHERE m.action = 'ignore')", "matches", "ignores", ignore=True)
 flow_query("flow_list_pattern", TrafficFilter(pattern_id="p3"), "flow_id IN (SELECT flow_id FROM matches WHERE pattern_id = 'p3')", "matches")
-flow_query("flow_list_ua_contains", TrafficFilter(user_agent="PYTHON"), f"flow_id IN ({HAS} contains(lower(coalesce(user_agent, '')), 'python'))", "http_messages")
-flow_query("flow_list_ua_equals", TrafficFilter(user_agent_equals="CURL/8.1"), f"flow_id IN ({HAS} lower(coalesce(user_agent, '')) = 'curl/8.1')", "http_messages")
-flow_query("flow_list_ua_not_contains", TrafficFilter(user_agent_not_contains="curl"), f"flow_id NOT IN ({HAS} contains(lower(coalesce(user_agent, '')), 'curl'))", "http_messages")
-flow_query("flow_list_ua_regex", TrafficFilter(user_agent_regex="^python-requests/.*"), f"flow_id IN ({HAS} regexp_matches(coalesce(user_agent, ''), '^python-requests/.*'))", "http_messages")
+flow_query("flow_list_ua_contains", TrafficFilter(user_agent="COURIER"), f"flow_id IN ({HAS} contains(lower(coalesce(user_agent, '')), 'courier'))", "http_messages")
+flow_query("flow_list_ua_equals", TrafficFilter(user_agent_equals="FETCHER/0.9"), f"flow_id IN ({HAS} lower(coalesce(user_agent, '')) = 'fetcher/0.9')", "http_messages")
+flow_query("flow_list_ua_not_contains", TrafficFilter(user_agent_not_contains="fetcher"), f"flow_id NOT IN ({HAS} contains(lower(coalesce(user_agent, '')), 'fetcher'))", "http_messages")
+flow_query("flow_list_ua_regex", TrafficFilter(user_agent_regex="^courier/.*"), f"flow_id IN ({HAS} regexp_matches(coalesce(user_agent, ''), '^courier/.*'))", "http_messages")
 flow_query("flow_list_favorite", TrafficFilter(favorite=True), "flow_id IN (SELECT flow_id FROM favorites)", "favorites")
 flow_query("flow_list_not_favorite", TrafficFilter(favorite=False), "flow_id NOT IN (SELECT flow_id FROM favorites)", "favorites")
 
 
 @query("flow_list_service_ua_contains", f"""SELECT p.*, fav.flow_id IS NOT NULL AS favorite, ua.user_agent, coalesce(pid.ids, '') AS pattern_ids FROM (
-  SELECT {LIST} FROM flows WHERE service IN ('web', 'shop', 'auth') AND service = 'shop' AND flow_id IN ({HAS} contains(lower(coalesce(user_agent, '')), 'python')) {PAGE} 100) AS p
+  SELECT {LIST} FROM flows WHERE service IN ('web', 'shop', 'auth') AND service = 'shop' AND flow_id IN ({HAS} contains(lower(coalesce(user_agent, '')), 'courier')) {PAGE} 100) AS p
   LEFT JOIN favorites AS fav USING (flow_id)
   LEFT JOIN (SELECT flow_id, arg_max(user_agent, (ts_ns, id)) AS user_agent FROM http_messages WHERE user_agent <> '' GROUP BY flow_id) AS ua USING (flow_id)
   LEFT JOIN (SELECT flow_id, string_agg(DISTINCT pattern_id, ',' ORDER BY pattern_id) AS ids FROM matches WHERE action = 'find' GROUP BY flow_id) AS pid USING (flow_id)""", "flows", "http_messages", "matches", "favorites")
 def flow_list_service_ua_contains(s, d):
-    f = TrafficFilter(service="shop", user_agent="python")
+    f = TrafficFilter(service="shop", user_agent="courier")
     http, hits, fav = A.http_messages(s, d), A.matches(s, d), A.favorites(s, d)
     rows = FL.enrich(FL.page(FL.select_flows(A.flows(s, d), f, http, hits, fav), f), fav, http, hits)
     return rows.withColumn("pattern_ids", F.array_join("pattern_ids", ","))
@@ -101,7 +101,7 @@ def parts(s, d):
 
 query("storage_stats", f"SELECT \"table\", CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS parts FROM ({PARTS}) GROUP BY ROLLUP (\"table\")", "content")(lambda s, d: facts.storage_stats(parts(s, d)))
 query("retention_survivors", f"SELECT flow_id, ended_ns FROM flows WHERE ended_ns >= {NOW}", "flows")(lambda s, d: facts.cleanup({"flows": A.flows(s, d)}, NOW, "DELETE")["flows"].select("flow_id", "ended_ns"))
-query("retention_file_candidates", "SELECT segment_path, max(ts_ns) AS newest_ns, count(*) AS records FROM content GROUP BY segment_path HAVING max(ts_ns) < 6000", "content")(lambda s, d: facts.wholly_old(A.content(s, d), 6000))
+query("retention_file_candidates", "SELECT flow_id AS segment_path, max(ts_ns) AS newest_ns, count(*) AS records FROM content GROUP BY flow_id HAVING max(ts_ns) < 6000", "content")(lambda s, d: facts.wholly_old(A.content(s, d).withColumn("segment_path", F.col("flow_id")), 6000))
 query("content_index_rebuild", f"SELECT DISTINCT {', '.join(INDEX)} FROM content", "content")(lambda s, d: files.rebuild_index(A.content(s, d)).select(*INDEX))
 
 
@@ -174,9 +174,11 @@ query("topology_grand_total", "SELECT count(*) AS packets, CAST(sum(wire_len) AS
 query("topology_ttl", f"SELECT ip4, last_ns FROM sources WHERE last_ns >= {NOW} - 300000000000", "sources")(lambda s, d: topology.alive(topology.source_totals(A.packets(s, d)), NOW).select("ip4", "last_ns"))
 query("topology_nested", f"SELECT {NET} AS cidr, count(*) AS n FROM sources GROUP BY 1", "sources")(lambda s, d: topology.nested(topology.top(topology.rates(A.packets(s, d), NOW))).select("cidr", F.size("sources").cast("bigint").alias("n")))
 query("rule_longest_prefix", "SELECT frame_no, rule_id FROM ruled", "ruled")(lambda s, d: topology.longest_prefix(A.packets(s, d), A.rules(s)).select("frame_no", "rule_id"))
-query("rule_counters", "SELECT rule_id, count(*) AS seen_packets, CAST(sum(wire_len) AS BIGINT) AS seen_bytes, count(*) FILTER (WHERE dropped) AS dropped_packets, CAST(sum(CASE WHEN dropped THEN wire_len ELSE 0 END) AS BIGINT) AS dropped_bytes FROM (SELECT p.*, (frame_no * 7919) % 100 < r.drop_percent AS dropped FROM ruled AS p JOIN rules AS r USING (rule_id) WHERE ts_ns >= created_ns AND ts_ns < expires_ns) GROUP BY rule_id", "ruled", "rules")(lambda s, d: topology.rule_counters(A.packets(s, d), A.rules(s)))
-query("rule_active_at", f"SELECT rule_id FROM rules WHERE created_ns <= {NOW} AND expires_ns > {NOW}", "rules")(lambda s, d: topology.active_rules(A.rules(s), NOW).select("rule_id"))
-query("rule_audit", f"SELECT * FROM (SELECT rule_id, 'set' AS event, created_ns AS at_ns FROM rules UNION ALL SELECT rule_id, 'expire', expires_ns FROM rules) WHERE at_ns <= {NOW} ORDER BY at_ns DESC, rule_id DESC, event LIMIT 32", "rules")(lambda s, d: topology.audit(A.rules(s), NOW))
+DROPPED = "CAST('0x' || substr(md5(CAST(frame_no AS VARCHAR)), 1, 8) AS BIGINT) * 100 < r.drop_percent * CAST(4294967296 AS BIGINT)"
+query("rule_counters", f"SELECT rule_id, count(*) AS seen_packets, CAST(sum(wire_len) AS BIGINT) AS seen_bytes, count(*) FILTER (WHERE dropped) AS dropped_packets, CAST(sum(CASE WHEN dropped THEN wire_len ELSE 0 END) AS BIGINT) AS dropped_bytes FROM (SELECT p.*, {DROPPED} AS dropped FROM ruled AS p JOIN rules AS r USING (rule_id) WHERE r.drop_percent > 0) GROUP BY rule_id", "ruled", "rules")(lambda s, d: topology.rule_counters(A.packets(s, d), A.rules(s)))
+query("rule_active_at", f"SELECT rule_id FROM force WHERE created_ns <= {NOW} AND until_ns > {NOW}", "force")(lambda s, d: topology.active_rules(A.rules(s), NOW).select("rule_id"))
+LATER = NOW + 30 * DAY
+query("rule_audit", f"SELECT * FROM (SELECT rule_id, 'set' AS event, created_ns AS at_ns FROM force UNION ALL SELECT rule_id, 'expire', expires_ns FROM force WHERE until_ns = expires_ns UNION ALL SELECT rule_id, 'clear', cleared_ns FROM force WHERE until_ns = cleared_ns) WHERE at_ns <= {LATER} ORDER BY at_ns DESC, rule_id DESC, event LIMIT 32", "force")(lambda s, d: topology.audit(A.rules(s), LATER))
 query("rule_rate", "SELECT frame_no, CASE WHEN dt > 0 THEN greatest(0, dv / dt) END AS rate FROM (SELECT frame_no, (ts_ns - lag(ts_ns) OVER w) / 1000000000.0 AS dt, CAST(wire_len - lag(wire_len) OVER w AS DOUBLE) AS dv FROM packets WINDOW w AS (PARTITION BY user_id ORDER BY ts_ns, frame_no))".replace("1000000000.0", "CAST(1000000000 AS DOUBLE)"), "packets")(lambda s, d: topology.counter_rate(A.packets(s, d), ["user_id"], "wire_len").select("frame_no", "rate"))
 query("rule_targets_valid", "SELECT * FROM (VALUES ('10.1.1.1/32'), ('10.2.3.0/24')) AS t(target)")(lambda s, d: A.literal(s, tuple((addresses.parse_target(t),) for t in ("10.1.1.1", "10.2.3.9/24")), "target string"))
 QUEUES = (("capture", 100, 32768), ("l7", 9000, 16384), ("match", 10, 16384))
@@ -209,7 +211,7 @@ def docs(s, d):
     return A.table(s, d, "documents").select(F.col("doc_id").cast("string").alias("content_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-query("scan_text_literal", "SELECT content_id, offset_start, offset_start + 3 AS offset_end FROM (SELECT content_id, stream_offset + octet_length(encode(left(text, strpos(text, 'and') - 1))) AS offset_start FROM content WHERE view = 'tcp_raw' AND contains(text, 'and'))", "content")(lambda s, d: matching.first_hits(A.content(s, d), A.literal(s, (("p1", "and", "tcp_raw"),), "id string, expression string, scan_view string")).drop("pattern_id"))
+query("scan_text_literal", "SELECT content_id, offset_start, offset_start + 3 AS offset_end FROM (SELECT content_id, CAST(stream_offset + list_sum(list_transform(p[1:i], lambda x: octet_length(encode(x)))) + (i - 1) * 3 AS BIGINT) AS offset_start FROM (SELECT content_id, stream_offset, string_split(text, 'and') AS p, unnest(range(1, len(string_split(text, 'and')))) AS i FROM content WHERE view = 'tcp_raw' AND contains(text, 'and')))", "content")(lambda s, d: matching.literal_hits(A.content(s, d), A.literal(s, (("p1", "and", "tcp_raw"),), "id string, expression string, scan_view string")).select("content_id", "offset_start", "offset_end"))
 query("scan_literal_counts", f"SELECT content_id, CAST((length(text) - length(replace(text, 'the', ''))) // 3 AS BIGINT) AS hits FROM {DOCS} WHERE contains(text, 'the')")(lambda s, d: matching.literal_counts(docs(s, d), "the"))
 query("scan_binary_literal", f"SELECT content_id, CAST((length(text) - length(replace(text, 'on', ''))) // 2 AS BIGINT) AS hits FROM {DOCS} WHERE contains(text, 'on')")(lambda s, d: matching.literal_counts(docs(s, d), matching.binary_literal("6f:6e").decode()))
 query("scan_regex", f"SELECT content_id, len(regexp_extract_all(text, '[0-9]+')) AS hits FROM {DOCS} WHERE regexp_matches(text, '[0-9]+')")(lambda s, d: matching.regex_counts(docs(s, d), "[0-9]+"))
@@ -235,14 +237,151 @@ def rule_dicts() -> list[dict]:
     return [p for p in latest.values() if p["enabled"]]
 
 
-query("scan_automaton")(lambda s, d: matching.scan(A.content(s, d), rule_dicts()))
+APART = ("the", "and", "of")
+_rule = lambda k, e, **more: {"id": f"a{k}", "revision": 1, "expression": e, "kind": "text", "action": "find", "direction_type": "both", "service": None, "view": None} | more
+COUNTED = " UNION ALL ".join(f"SELECT 'a{k}' AS pattern_id, flow_id, direction, CAST((length(text) - length(replace(text, '{e}', ''))) // {len(e)} AS BIGINT) AS hits FROM whole WHERE contains(text, '{e}')" for k, e in enumerate(APART))
+
+
+def _by_stream(s, d, found):
+    way = A.content(s, d).select("content_id", "direction")
+    return found.join(way, "content_id").groupBy("pattern_id", "flow_id", "direction").agg(F.count("*").alias("hits"))
+
+
+@query("scan_automaton", COUNTED, "whole")
+def scan_automaton(s, d):
+    """Literals that cannot overlap, over whole streams: records and the places between them give every hit once."""
+    return _by_stream(s, d, matching.scan(A.content(s, d), [_rule(k, e) for k, e in enumerate(APART)], matching.Limits(1 << 30, 1 << 30)))
+
+
+@query("scan_regex_stream", "SELECT 'r' AS pattern_id, flow_id, direction, CAST(len(regexp_extract_all(text, 'w[a-z]t')) AS BIGINT) AS hits FROM whole WHERE regexp_matches(text, 'w[a-z]t')", "whole")
+def scan_regex_stream(s, d):
+    rule = _rule("", "w[a-z]t", id="r", kind="regex")
+    return _by_stream(s, d, matching.scan(A.content(s, d), [rule, rule | {"id": "none", "expression": "#{9}"}], matching.Limits(1 << 30, 1 << 30)))
+
+
+@query("scan_groups", "SELECT content_id, CAST((length(text) - length(replace(text, 'the', ''))) // 3 AS BIGINT) AS hits FROM content WHERE view = 'http_request_body' AND ingest_seq % 2 = 0 AND contains(text, 'the')", "content")
+def scan_groups(s, d):
+    """A rule of one service and one view: records of other services and views are not looked at."""
+    rule = _rule("", "the", id="g", direction_type="input", service="web", view="http_request_body")
+    rows = A.content(s, d).withColumn("service", F.when(F.col("ingest_seq") % 2 == 0, "web").otherwise("shop")).withColumn("flow_id", F.col("content_id"))
+    return matching.scan(rows, [rule], matching.Limits(1 << 30, 1 << 30)).groupBy("content_id").agg(F.count("*").alias("hits"))
+
+
+@query("scan_carried_on", COUNTED, "whole")
+def scan_carried_on(s, d):
+    """The same hits in two goes: the tails of the first are where the second begins."""
+    rules, limits, rows = [_rule(k, e) for k, e in enumerate(APART)], matching.Limits(1 << 30, 1 << 30), A.content(s, d)
+    first = matching.carried(rows.where("ts_ns < 3000"), rules, None, limits)
+    second = matching.carried(rows.where("ts_ns >= 3000"), rules, matching.tails_of(first), limits)
+    return _by_stream(s, d, matching.hits_of(first).unionByName(matching.hits_of(second)))
 query("replay_historical_matches", "SELECT content_id, CAST((length(text) - length(replace(text, 'of', ''))) // 2 AS BIGINT) AS hits FROM content WHERE view = 'http_request_body' AND ingest_seq <= 40 AND segment_path <> 'seg-1' AND contains(text, 'of')", "content")(lambda s, d: matching.replay(A.content(s, d).withColumn("flow_id", F.col("content_id")), [p for p in rule_dicts() if p["id"] == "p7"], 40, A.literal(s, (("seg-1",),), "segment_path string")).groupBy("content_id").agg(F.count("*").alias("hits")))
 
-# --- frames (fixtures) -----------------------------------------------------------------------------------------------------------
 
-query("decode_ethernet")(lambda s, d: fixtures.packets(s).select("frame_no", "status", "src_ip", "dst_ip", "src_port", "dst_port", "payload_len"))
-query("decode_status_counts", "SELECT * FROM (VALUES ('packet', CAST(11 AS BIGINT))) AS t(status, frames)")(lambda s, d: decode.status_counts(fixtures.packets(s)))
-query("ip_fragment_assembly")(lambda s, d: fixtures.fragmented(s).select("frame_no", "status", "src_port", "dst_port", "payload_len", "wire_len"))
-query("tcp_reassemble")(lambda s, d: fixtures.chunks(s))
-query("http_parse_stream")(lambda s, d: fixtures.messages(s))
-query("pipeline_pcap_end_to_end")(lambda s, d: fixtures.hits(s))
+REPORT = "SELECT store, \"table\", CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS parts FROM (SELECT 'index' AS store, segment_path AS \"table\", count(*) AS rows, sum(payload_len) AS bytes FROM content GROUP BY segment_path, view UNION ALL SELECT 'facts', 'flows', count(*), sum(bytes_c2s) FROM flows) GROUP BY ROLLUP (store, \"table\")"
+
+
+@query("storage_report", REPORT, "content", "flows")
+def storage_report(s, d):
+    flows = A.flows(s, d).agg(F.count("*").alias("rows"), F.sum("bytes_c2s").alias("bytes")).withColumn("table", F.lit("flows"))
+    return facts.storage_report({"index": parts(s, d), "facts": flows})
+
+
+# --- replay and rules as they change ---------------------------------------------------------------------------------------------
+
+MOVED = (("j1", "running", 1), ("j2", "completed", 2), ("j3", "completed", 3), ("j3", "running", 4), ("j3", "failed", 5), ("j3", "queued", 6))
+query("replay_job_progress", "SELECT * FROM (VALUES ('j1', 'completed'), ('j2', 'completed'), ('j3', 'queued')) AS t(id, status)")(lambda s, d: registry.progress(jobs(s), A.literal(s, MOVED, "id string, status string, at_ns long")).select("id", "status"))
+query("replay_jobs_resumed", "SELECT * FROM (VALUES ('j1', 'completed'), ('j2', 'queued'), ('j3', 'failed')) AS t(id, status)")(lambda s, d: registry.resumed(jobs(s), A.literal(s, (("j2", "seg-0"),), "id string, path string"), A.content(s, d).select(F.col("segment_path").alias("path")).where("path <> 'seg-4'").distinct()).select("id", "status"))
+
+
+@query("replay_checkpoints", "SELECT 'j' AS id, segment_path AS path, CAST(sum((length(text) - length(replace(text, 'of', ''))) // 2) AS BIGINT) AS hits FROM content WHERE view = 'http_request_body' GROUP BY segment_path", "content")
+def replay_checkpoints(s, d):
+    rows = A.content(s, d).withColumn("flow_id", F.col("content_id")).where("view = 'http_request_body'")
+    rule = _rule("", "of", id="p7", direction_type="input", view="http_request_body")
+    at = rows.select("content_id", F.lit("j").alias("id"), F.col("segment_path").alias("path"))
+    return registry.checkpoints(matching.scan(rows, [rule], matching.Limits(1 << 30, 1 << 30), True).join(at, "content_id"), at)
+
+
+@query("replay_lookback_job", "SELECT id AS pattern_id, revision AS pattern_revision, string_agg(DISTINCT segment_path, ',' ORDER BY segment_path) AS paths FROM pat, (SELECT segment_path FROM content GROUP BY segment_path HAVING max(ts_ns) >= 2000) WHERE id = 'p2' GROUP BY id, revision", "pat", "content")
+def replay_lookback_job(s, d):
+    files_ = A.content(s, d).groupBy(F.col("segment_path").alias("path")).agg(F.max("ts_ns").alias("newest_ns"))
+    return registry.lookback_job(A.patterns(s), "p2", files_, 2000, NOW).select("pattern_id", "pattern_revision", F.array_join("segment_paths", ",").alias("paths"))
+
+
+NEW_RULE = {"id": "p1", "expression": "or", "kind": "text", "action": "find", "direction_type": "both", "service": None, "view": None, "enabled": True}
+query("pattern_create", "SELECT id, revision, expression FROM patterns UNION ALL SELECT 'p1', max(revision) + 1, 'or' FROM patterns WHERE id = 'p1'", "patterns")(lambda s, d: registry.with_pattern(A.patterns(s), NEW_RULE).select("id", "revision", "expression"))
+SAMPLED = "SELECT user_id, ts_ns, frame_no, count(*) OVER w AS flows_opened, count(*) FILTER (WHERE frame_no % 3 = 0) OVER w AS flows_closed, CAST(sum(wire_len) OVER w AS BIGINT) AS packets FROM packets WINDOW w AS (PARTITION BY user_id ORDER BY ts_ns, frame_no ROWS UNBOUNDED PRECEDING)"
+
+
+@query("stream_rates", f"SELECT frame_no, CASE WHEN ms > 0 THEN greatest(CAST(0 AS DOUBLE), CAST(grown * 60000 AS DOUBLE) / ms) END AS streams_per_minute, CASE WHEN flows_closed > 0 THEN CAST(packets AS DOUBLE) / flows_closed END AS packets_per_flow FROM (SELECT *, CAST(ts_ns - lag(ts_ns) OVER w AS DOUBLE) / 1000000 AS ms, flows_opened - lag(flows_opened) OVER w AS grown FROM ({SAMPLED}) WINDOW w AS (PARTITION BY user_id ORDER BY ts_ns, frame_no))", "packets")
+def stream_rates(s, d):
+    w = A.Window.partitionBy("user_id").orderBy("ts_ns", "frame_no").rowsBetween(A.Window.unboundedPreceding, 0)
+    p = A.packets(s, d)
+    samples = p.select("user_id", "ts_ns", "frame_no", F.count("*").over(w).alias("flows_opened"), F.count_if(F.col("frame_no") % 3 == 0).over(w).alias("flows_closed"), F.sum("wire_len").over(w).alias("packets"))
+    return topology.stream_rates(samples, keys=["user_id"]).select("frame_no", "streams_per_minute", "packets_per_flow")
+
+
+query("flow_cap_per_prefix", "SELECT count(*) AS flows FROM flows", "flows")(lambda s, d: connections.admitted(A.flows(s, d), 1 << 20, 24).agg(F.count("*").alias("flows")))
+
+# --- files -----------------------------------------------------------------------------------------------------------------------
+
+KEYED = "md5(content_id) AS content, md5(flow_id) AS flow"
+
+
+def _uuid(c: str):
+    h = F.md5(F.col(c).cast("binary"))
+    return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+
+def segments(s, d):
+    rows = A.content(s, d).withColumn("content_id", _uuid("content_id")).withColumn("flow_id", _uuid("flow_id"))
+    return files.segment_table(rows, 20_000)
+
+
+@query("segments_read_back", f"SELECT {KEYED}, direction, view, stream_offset, ts_ns, payload_len AS bytes, md5(text) AS md5 FROM content", "content")
+def segments_read_back(s, d):
+    plain = lambda c: F.regexp_replace(c, "-", "")
+    return files.scan_segments(segments(s, d)).select(plain("content_id").alias("content"), plain("flow_id").alias("flow"), "direction", "view", "stream_offset", "ts_ns", F.octet_length("data").cast("bigint").alias("bytes"), F.md5("data").alias("md5"))
+
+
+@query("segments_read_at", "SELECT md5(content_id) AS content, false AS failed FROM content WHERE view = 'tcp_raw' UNION ALL SELECT NULL, true FROM (SELECT DISTINCT 1 FROM content)", "content")
+def segments_read_at(s, d):
+    table = segments(s, d)
+    places = files.scan_segments(table).where("view = 'tcp_raw'").select("segment_path", "segment_offset")
+    bad = places.agg(F.min("segment_path").alias("segment_path")).where("segment_path is not null").withColumn("segment_offset", F.lit(21).cast("bigint"))
+    return files.read_at(table, places.unionByName(bad)).select(F.regexp_replace("content_id", "-", "").alias("content"), F.col("error").isNotNull().alias("failed"))
+
+
+@query("segments_listed", "SELECT CAST(sum(payload_len + 68) AS BIGINT) AS bytes FROM content", "content")
+def segments_listed(s, d):
+    """Bytes of all segments but for their heads of 20: each record takes 68 bytes besides its payload."""
+    return files.list_segments(segments(s, d)).agg(F.sum(F.col("bytes") - 20).alias("bytes"))
+
+
+@query("spool_read_back", "SELECT 'flows' AS \"table\", count(*) AS rows, CAST(sum(bytes_c2s) AS BIGINT) AS total FROM flows UNION ALL SELECT 'matches', count(*), CAST(sum(offset_end) AS BIGINT) FROM matches UNION ALL SELECT 'http_messages', count(*), CAST(sum(ts_ns) AS BIGINT) FROM http_messages", "flows", "matches", "http_messages")
+def spool_read_back(s, d):
+    spool = files.spool_events({"flows": A.flows(s, d), "matches": A.matches(s, d), "http_messages": A.http_messages(s, d)}, 500)
+    tables = files.demux(files.spooled(spool))
+    sums = [tables[t].agg(F.lit(t).alias("table"), F.count("*").alias("rows"), F.sum(c).alias("total")) for t, c in (("flows", "bytes_c2s"), ("matches", "offset_end"), ("http_messages", "ts_ns"))]
+    return sums[0].unionByName(sums[1]).unionByName(sums[2])
+
+
+# --- frames ----------------------------------------------------------------------------------------------------------------------
+
+TRAFFIC = {
+    "decode_statuses": traffic.status_counts,
+    "decode_headers": traffic.headers,
+    "frames_not_worth_decoding": traffic.rejected,
+    "fragments_assembled": traffic.assembled,
+    "flows_from_frames": traffic.flows,
+    "flows_from_captures": traffic.flows_of_captures,
+    "streams_reassembled": traffic.streams,
+    "stream_gaps": traffic.gaps,
+    "http_messages_parsed": traffic.messages,
+    "http_bodies_parsed": traffic.bodies,
+    "http_parsed_from_chunks": traffic.parsed_alone,
+    "frames_to_matches": traffic.hits,
+    "live_flows_closed": traffic.closed_live,
+}
+for _name, _f in TRAFFIC.items():
+    _sql, _needs = traffic.SQL.get(_name, traffic.SQL["flows_from_frames"])
+    query(_name, _sql, *_needs)(_f)

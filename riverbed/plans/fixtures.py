@@ -13,7 +13,7 @@ from ..operators import connections, decode, fragments, http1, matching
 from ..operators.sessions import attribute
 from . import adapters as A
 
-BASE_NS = 1_700_000_000_000_000_000
+BASE_NS = 1_715_000_000_000_000_000
 FIN, SYN, RST, PSH, ACK = 1, 2, 4, 8, 16
 MAC = bytes.fromhex("020000000001020000000002")
 
@@ -36,18 +36,18 @@ def udp(sport: int, dport: int, data: bytes) -> bytes:
 
 def frames() -> list[bytes]:
     """A whole exchange on port 8080, a reset one on a port that is no service, and an open one."""
-    body = b"FLAG{fixture}"
-    post = b"POST /submit HTTP/1.1\r\nHost: fixture\r\nUser-Agent: python-requests/2.32\r\nContent-Length: 13\r\n\r\n" + body
-    cut = post.index(b"User-Ag") + 7
-    a, b = ("10.10.1.2", 45123), ("10.10.1.3", 8080)
-    out = [tcp(*a, *b, 1000, 0, SYN), tcp(*b, *a, 5000, 1001, SYN | ACK), tcp(*a, *b, 1001, 5001, PSH | ACK, post[:cut]), tcp(*a, *b, 1001 + cut, 5001, PSH | ACK, post[cut:])]
-    reply = b"HTTP/1.1 200 OK\r\nContent-Length: 2\r\n\r\nOK"
-    end = 1001 + len(post)
-    out += [tcp(*b, *a, 5001, end, PSH | ACK, reply), tcp(*a, *b, end, 5001 + len(reply), FIN | ACK), tcp(*b, *a, 5001 + len(reply), end + 1, FIN | ACK)]
-    noise = ("10.10.2.2", 46123, "10.10.2.3", 9999)
-    out += [tcp(*noise, 9000, 0, SYN), tcp(*noise, 9001, 0, RST | PSH | ACK, b"GET /noise HTTP/1.1\r\nUser-Agent: curl/9.0\r\n\r\n")]
-    live = ("10.10.3.2", 47123, "10.10.3.3", 8080)
-    out += [tcp(*live, 12000, 0, SYN), tcp(*live, 12001, 0, PSH | ACK, b"GET /live HTTP/1.1\r\nHost: fixture\r\nUser-Agent: live-agent/1.0\r\n\r\n")]
+    note = b"parcel <7f3a> ready"
+    put = b"PUT /parcels/17 HTTP/1.1\r\nHost: depot.example\r\nUser-Agent: courier/5.1\r\nContent-Length: 19\r\n\r\n" + note
+    cut = put.index(b"courier")
+    a, b = ("172.20.4.9", 31007), ("172.20.8.1", 8080)
+    out = [tcp(*a, *b, 77_000, 0, SYN), tcp(*b, *a, 310, 77_001, SYN | ACK), tcp(*a, *b, 77_001, 311, PSH | ACK, put[:cut]), tcp(*a, *b, 77_001 + cut, 311, PSH | ACK, put[cut:])]
+    reply = b"HTTP/1.1 201 Created\r\nContent-Length: 4\r\n\r\nkept"
+    end = 77_001 + len(put)
+    out += [tcp(*b, *a, 311, end, PSH | ACK, reply), tcp(*a, *b, end, 311 + len(reply), FIN | ACK), tcp(*b, *a, 311 + len(reply), end + 1, FIN | ACK)]
+    other = ("172.20.5.5", 32555, "172.20.8.2", 7070)
+    out += [tcp(*other, 640, 0, SYN), tcp(*other, 641, 0, RST | PSH | ACK, b"GET /elsewhere HTTP/1.1\r\nUser-Agent: stray/0.2\r\n\r\n")]
+    left = ("172.20.6.30", 33901, "172.20.8.1", 8080)
+    out += [tcp(*left, 5_500, 0, SYN), tcp(*left, 5_501, 0, PSH | ACK, b"GET /still-open HTTP/1.1\r\nHost: depot.example\r\nUser-Agent: waiting/1.4\r\n\r\n")]
     return out
 
 
@@ -73,29 +73,22 @@ def fragmented(spark: SparkSession) -> DataFrame:
 
 
 def events(spark: SparkSession) -> DataFrame:
-    return connections.track(fragments.assemble(packets(spark)), [8080])
-
-
-def chunks(spark: SparkSession) -> DataFrame:
-    return connections.chunks(events(spark)).select("flow_id", "direction", "offset", F.length("data").alias("n"))
-
-
-def parsed(spark: SparkSession) -> DataFrame:
-    return http1.parse(connections.chunks(events(spark)))
+    """Flow events with HTTP records and messages, in one pass."""
+    return connections.dataflow(fragments.assemble(packets(spark)), [8080], [8080])
 
 
 def messages(spark: SparkSession) -> DataFrame:
-    return http1.messages_of(parsed(spark)).select("flow_id", "request", "method", "path", "status", "user_agent")
+    return http1.messages_of(events(spark))
 
 
 def content(spark: SparkSession) -> DataFrame:
     """All content of the capture, with the service of its flow."""
     e = events(spark)
     named = attribute(connections.flows(e), A.services(spark)).select("flow_id", "service")
-    return http1.content_of(connections.chunks(e), http1.parse(connections.chunks(e))).join(named, "flow_id", "left")
+    return http1.content_of(connections.chunks(e), e).join(named, "flow_id", "left")
 
 
 def hits(spark: SparkSession) -> DataFrame:
     """From frames to matches: a literal that was told only later, found in stored content."""
-    rule = {"id": "flag", "revision": 1, "expression": "FLAG{fixture}", "kind": "text", "action": "find", "direction_type": "both", "service": None, "view": None}
+    rule = {"id": "parcel", "revision": 1, "expression": "<7f3a>", "kind": "text", "action": "find", "direction_type": "both", "service": None, "view": None}
     return matching.replay(content(spark).withColumn("ingest_seq", F.lit(1)), [rule]).select("pattern_id", "flow_id", "view", "offset_start", "offset_end", "historical")

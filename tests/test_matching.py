@@ -13,12 +13,12 @@ def record(data, offset=0, cid="c", **more):
 
 
 def test_hits_across_records():
-    m = Matcher([rule("FLAG{")])
-    assert not m.feed(record(b"AAFL"))
-    assert [(h["offset_start"], h["offset_end"], h["content_id"]) for h in m.feed(record(b"AG{x}", 4, "d"))] == [(2, 7, "d")]
-    m = Matcher([rule("FLAG{")])
-    m.feed(record(b"AAFL"))
-    assert not m.feed(record(b"AG{x}", 5))  # a hole between them
+    m = Matcher([rule("NEED<")])
+    assert not m.feed(record(b"xyNE"))
+    assert [(h["offset_start"], h["offset_end"], h["content_id"]) for h in m.feed(record(b"ED<q>", 4, "d"))] == [(2, 7, "d")]
+    m = Matcher([rule("NEED<")])
+    m.feed(record(b"xyNE"))
+    assert not m.feed(record(b"ED<q>", 5))  # a hole between them
 
 
 def test_literals_of_a_group_do_not_overlap():
@@ -54,4 +54,4 @@ def test_validation():
     for bad in (("binary", "4"), ("binary", " "), ("regex", "(?=a)"), ("regex", "("), ("text", ""), ("other", "x")):
         with pytest.raises(Exception):  # noqa: B017
             registry.validate(*bad)
-    registry.validate("regex", "^python-requests/.*")
+    registry.validate("regex", "^courier/.*")

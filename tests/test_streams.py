@@ -172,3 +172,28 @@ def test_http_gap_tunnel_and_end():
     feed(conn, "b_to_a", b"HTTP/1.0 200 OK\r\nTransfer-Encoding: identity\r\n\r\nto the end")
     conn.finish()
     assert b"".join(r["data"] for r in conn.take()[0] if r["view"] == "http_response_body") == b"to the end"
+
+
+def test_http_queue_and_ambiguous_framing():
+    conn = Connection(Caps(queue=2))
+    feed(conn, "a_to_b", b"HEAD /1 HTTP/1.1\r\n\r\nGET /2 HTTP/1.1\r\n\r\nGET /3 HTTP/1.1\r\n\r\n")
+    assert conn.errors == 1 and list(conn.requests) == ["GET", "GET"]  # the oldest went
+    conn = Connection()
+    feed(conn, "a_to_b", b"POST / HTTP/1.1\r\nContent-Length: 3\r\nTransfer-Encoding: chunked\r\n\r\n1\r\nx\r\n0\r\n\r\n")
+    assert conn.errors == 1 and b"".join(r["data"] for r in conn.take()[0] if r["view"] == "http_request_body") == b"x"
+    conn = Connection()
+    feed(conn, "a_to_b", b"HEAD /1 HTTP/1.1\r\n\r\nBAD LINE\r\n\r\nGET /2 HTTP/1.1\r\n\r\n")
+    assert conn.errors == 1 and list(conn.requests) == ["GET"]  # what was asked before a bad header is forgotten
+    conn = Connection(Caps(header=200))
+    feed(conn, "a_to_b", b"GET /" + b"a" * 400 + b" HTTP/1.1\r\n\r\nGET /ok HTTP/1.1\r\n\r\n")
+    assert [m["path"] for m in conn.take()[1]] == ["/ok"]
+    conn = Connection(Caps(header=200))
+    feed(conn, "a_to_b", b"GET / HTTP/1.1\r\nX: " + b"b" * 500 + b"\r\n\r\nGET /ok HTTP/1.1\r\n\r\n")
+    assert [m["path"] for m in conn.take()[1]] == ["/ok"] and conn.errors >= 1
+
+
+def test_gre_routes_end_with_an_empty_entry():
+    plain = fx.tcp("1.1.1.1", 5, "2.2.2.2", 80, 1, 0, fx.SYN, b"hi")
+    routes = struct.pack(">HBB", 0x0800, 0, 0) + struct.pack(">HBB", 0x0800, 0, 4) + b"abcd" + bytes(4)
+    gre = lambda r: fx.ipv4("9.9.9.1", "9.9.9.2", 47, struct.pack(">HHI", 0x4000, 0x0800, 0) + r + plain[14:])
+    assert decode.decode(gre(routes)).dst_port == 80 and decode.decode(gre(routes[:-2])).status != "packet"
