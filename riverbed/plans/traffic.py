@@ -23,7 +23,7 @@ from .fixtures import ACK, FIN, MAC, PSH, RST, SYN, ip
 BASE_NS = 1_720_000_000_000_000_000
 SECOND = 1_000_000_000
 #: Bytes of a segment, and of a datagram's first fragment.
-SEGMENT, FRAGMENT = 600, 304
+SEGMENT, FRAGMENT = 240, 104
 SERVER, PORT, SILENT, NOISE = "192.168.0.10", 8080, 8082, 9999
 
 
@@ -117,7 +117,7 @@ def conversation(c: int, turns: list[tuple[int, bool, bytes]], web: bool) -> lis
             continue
         parts = [(at[up] + i, data[i : i + SEGMENT]) for i in range(0, len(data), SEGMENT)]
         first = parts[0]
-        if c % 8 == 4 and k == 0 and len(parts) >= 3 and not web:
+        if c % 8 == 4 and len(parts) >= 3 and not web:
             del parts[1]
         if (c + k) % 3 == 0:
             parts = [x for i in range(0, len(parts), 2) for x in reversed(parts[i : i + 2])]
@@ -272,8 +272,8 @@ def closed_live(spark: SparkSession, d: str) -> DataFrame:
     folder = files.scratch_folder(spark) + "/live-" + uuid.uuid4().hex
     rows = packets(spark, d).where("status = 'packet'").select(*PACKETS)
     early = F.col("frame_no") % 1_000_000 < 9
-    for some in (early, ~early):  # files come in the order in which they were written
-        rows.where(some).write.mode("append").parquet(f"{folder}/in")
+    for some in (early, ~early):  # files come in the order in which they were written, and one holds all that a conversation has in it
+        rows.where(some).repartition(F.floor(F.col("frame_no") / 1_000_000)).write.mode("append").parquet(f"{folder}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
     found = jobs.live_flows(stream, [PORT], late="3650 days")  # conversations come side by side, none is too late
     sink = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").outputMode("append")
@@ -289,7 +289,7 @@ def twin() -> dict[str, tuple[tuple[str, ...], str]]:
     return {
         "told": ((), "SELECT conv_id AS c, turn, coalesce(text, '') AS text, role = 'user' AS up, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, conv_id % 10 = 9 AS udp FROM conversations"),
         "sent": (("told",), f"""SELECT *, (n + {seg - 1}) // {seg} AS segs, least(n, {seg}) AS first, n % {seg} AS rest, CASE WHEN udp THEN 8 ELSE 20 END AS head,
-          CASE WHEN NOT udp AND n > 0 AND (c + k) % 4 = 0 THEN 1 ELSE 0 END AS again, CASE WHEN NOT udp AND c % 8 = 4 AND k = 0 AND n > {2 * seg} THEN 1 ELSE 0 END AS lost, CASE WHEN NOT udp AND n > 0 THEN 1 ELSE 0 END AS acks FROM told"""),
+          CASE WHEN NOT udp AND n > 0 AND (c + k) % 4 = 0 THEN 1 ELSE 0 END AS again, CASE WHEN NOT udp AND c % 8 = 4 AND n > {2 * seg} THEN 1 ELSE 0 END AS lost, CASE WHEN NOT udp AND n > 0 THEN 1 ELSE 0 END AS acks FROM told"""),
         "parted": (("sent",), f"SELECT *, CASE WHEN c % 8 = 5 THEN (n // {seg}) + CASE WHEN rest + head > {frag} THEN 1 ELSE 0 END + again * CASE WHEN first + head > {frag} THEN 1 ELSE 0 END ELSE 0 END AS cuts, segs + again - lost AS frames, n + again * first - lost * {seg} AS bytes FROM sent"),
         "talks": (("parted",), """SELECT c, c % 10 = 9 AS udp, CAST(sum(frames) AS BIGINT) AS frames, CAST(sum(cuts) AS BIGINT) AS cuts, CAST(sum(acks) AS BIGINT) AS acks, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(n) AS BIGINT) AS n, max(lost) AS lost,
           CAST(sum(CASE WHEN up THEN frames ELSE acks END) AS BIGINT) AS to_s, CAST(sum(CASE WHEN up THEN acks ELSE frames END) AS BIGINT) AS to_c, CAST(sum(CASE WHEN up THEN bytes ELSE 0 END) AS BIGINT) AS bytes_s, CAST(sum(CASE WHEN up THEN 0 ELSE bytes END) AS BIGINT) AS bytes_c,
@@ -315,7 +315,7 @@ SQL: dict[str, tuple[str, tuple[str, ...]]] = {
       to_c + CASE WHEN udp THEN 0 ELSE 1 END + CASE WHEN ending = 'fin' THEN 1 ELSE 0 END AS packets_s2c, bytes_s + CASE WHEN udp THEN 1 ELSE 0 END AS bytes_c2s, bytes_c AS bytes_s2c, lost > 0 AS truncated, ending AS closed_by FROM talks WHERE udp OR n > 0""", ("talks",)),
     "streams_reassembled": (f"""SELECT c AS conv_id, up, CAST(length(hex) // 2 AS BIGINT) AS bytes, md5(hex) AS md5 FROM (SELECT c, up, CASE WHEN up AND c % 10 = 9 THEN '2e' ELSE '' END || string_agg(hex, '' ORDER BY turn) AS hex FROM (
       SELECT c, turn, up, CASE WHEN lost = 1 THEN h[1 : {2 * SEGMENT}] || h[{4 * SEGMENT + 1} :] ELSE h END AS hex FROM (SELECT *, lower(hex(encode(text))) AS h FROM parted) UNION ALL SELECT DISTINCT c, -1, true, '' FROM parted WHERE c % 10 = 9) GROUP BY c, up) WHERE length(hex) > 0""", ("parted",)),
-    "stream_gaps": (f"SELECT c AS conv_id, up, CAST({SEGMENT} AS BIGINT) AS \"offset\", CAST({SEGMENT} AS BIGINT) AS length FROM parted WHERE lost = 1", ("parted",)),
+    "stream_gaps": (f"SELECT c AS conv_id, up, CAST(before + {SEGMENT} AS BIGINT) AS \"offset\", CAST({SEGMENT} AS BIGINT) AS length FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY c, up ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM parted) WHERE lost = 1", ("parted",)),
     "http_messages_parsed": ("""SELECT c AS conv_id, up, row_number() OVER (PARTITION BY c, up ORDER BY turn) AS nth, up AS request, CASE WHEN up THEN 'POST' END AS method, CASE WHEN up THEN concat('/c/', c, '/t/', turn) END AS path, CASE WHEN up THEN concat('h', c % 5, '.example') END AS host,
       CASE WHEN NOT up THEN 200 END AS status, CASE WHEN up THEN concat('agent/', c % 3) END AS user_agent, 'text/plain' AS content_type FROM told WHERE c % 7 <> 6""", ("told",)),
     "http_bodies_parsed": ("SELECT c AS conv_id, concat('http_', CASE WHEN up THEN 'request' ELSE 'response' END, CASE WHEN c % 4 = 3 THEN '_decoded' ELSE '' END, '_body') AS view, md5(string_agg(lower(hex(encode(text))), '' ORDER BY turn)) AS md5 FROM told WHERE c % 7 <> 6 AND n > 0 GROUP BY c, up", ("told",)),
