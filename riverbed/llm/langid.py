@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, share, table
+from .common import fold, kept_by_worker, share, table
 
 UNKNOWN = "und"
 
@@ -70,16 +70,10 @@ class Grams:
 
 def grams_of_worker(bins: int) -> Grams:
     """One table of letters for each Python worker."""
-    import sys
-    import types
+    return kept_by_worker(f"grams {bins}", lambda: Grams(bins))
 
-    kept = sys.modules.setdefault("_riverbed_worker", types.ModuleType("_riverbed_worker")).__dict__
-    if bins not in kept.setdefault("grams", {}):
-        kept["grams"][bins] = Grams(bins)
-    return kept["grams"][bins]
 
-
-def blocks(batch: pa.RecordBatch, column: str, most: int = 256):
+def blocks(batch: pa.RecordBatch, column: str | int, most: int = 256):
     """The texts of a batch, some hundred at a time; null as empty."""
     values = batch.column(column)
     for k in range(0, len(values), most):
@@ -194,14 +188,16 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
     fields = docs.select(*[F.col(f"`{k}`") for k in keep], *carry).schema.fields
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string, score double, rejected boolean"])
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast(model)
+    # arrays and plain values only: what is broadcast is pickled by reference, and workers need no copy of this package
+    shared = context.broadcast((model.languages, model.centroids, model.idf, model.floor) if model else None)
+    params = model.params if model else None
 
     def run(batches):
-        m = shared.value
+        m = Model(*shared.value, params) if shared.value else None
         grams = grams_of_worker(m.params.bins if m else 8)
         for batch in batches:
             lang, score, out = [], [], []
-            for _, texts in blocks(batch, "__text"):
+            for _, texts in blocks(batch, place):
                 counts, has = grams.count(texts)
                 if m is None:
                     lang, score, out = lang + [UNKNOWN] * len(texts), score + [0.0] * len(texts), out + [True] * len(texts)
@@ -210,9 +206,11 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
                 lang += [m.languages[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)]
                 score += np.where(has, cos, 0.0).astype(float).tolist()
                 out += (~has | (cos < m.floor[best])).tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())], [f.name for f in fields] + ["lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())], [f.name for f in fields] + ["lang_pred", "score", "rejected"])
 
-    return docs.select(*[F.col(f"`{k}`") for k in keep], *carry, F.col("text").alias("__text")).mapInArrow(run, schema)
+    place = [f.name for f in fields].index("text") if "text" in keep else len(fields)
+    sent = [F.col(f"`{k}`") for k in keep] + list(carry)
+    return docs.select(*sent, *([] if "text" in keep else [F.col("text").alias("__text")])).mapInArrow(run, schema)
 
 
 def op5_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import sys
-import types
-
 import numpy as np
 
+from .common import kept_by_worker
+
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 
@@ -74,5 +73,4 @@ def signature(shingles: np.ndarray) -> int:
 
 
 def of_worker(k: int) -> Shingler:
-    kept = sys.modules.setdefault("_riverbed_worker", types.ModuleType("_riverbed_worker")).__dict__
-    return kept.setdefault("shingles", {}).setdefault(k, Shingler(k))
+    return kept_by_worker(f"shingles {k}", lambda: Shingler(k))
