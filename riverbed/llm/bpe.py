@@ -14,11 +14,12 @@ import re
 import unicodedata
 from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import kept_by_worker, pieces, table
 
 
 #: A rank behind all others.
@@ -38,7 +39,7 @@ class ForcedBoundaryBPE:
     remember bounds the number of words, and of fragments, whose ids are kept.
     """
 
-    def __init__(self, spec: dict, remember: int = 300_000):
+    def __init__(self, spec: dict, remember: int = 150_000):
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
@@ -174,7 +175,7 @@ class ForcedBoundaryBPE:
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
 
-def load(path: str | None = None, remember: int = 300_000) -> ForcedBoundaryBPE:
+def load(path: str | None = None, remember: int = 150_000) -> ForcedBoundaryBPE:
     """path: a tokenizers JSON file; by default the public word-end vocabulary that is installed on the machine."""
     if path is None:
         import public_tokenizers
@@ -186,13 +187,7 @@ def load(path: str | None = None, remember: int = 300_000) -> ForcedBoundaryBPE:
 
 def of_worker(path: str | None) -> ForcedBoundaryBPE:
     """The encoder of this Python worker: the words that one task has learned serve the next one."""
-    import sys
-    import types
-
-    kept = sys.modules.setdefault("_riverbed_worker", types.ModuleType("_riverbed_worker")).__dict__
-    if kept.get("bpe_path", "") != path:
-        kept |= {"bpe": load(path), "bpe_path": path}
-    return kept["bpe"]
+    return kept_by_worker(f"bpe {path}", lambda: load(path))
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",), ids: bool = True, digests: bool = False, text: str = "text") -> DataFrame:
@@ -211,19 +206,21 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep: tuple[str,
     def run(batches):
         bpe = of_worker(path)
         token_bytes = {i: t.encode() for i, t in bpe.tokens.items()}
-        for batch in batches:
+        for batch in (x for whole in batches for x in pieces(whole, len(names))):
             n, lists, a, b = [], [], [], []
             for t in batch.column(len(names)):
                 packed = bpe.encode_bytes(t.as_py() or "")
                 found = array("I", packed)
                 n.append(len(found))
                 if ids:
-                    lists.append(found.tolist())
+                    lists.append(packed)
                 if digests:
                     a.append(hashlib.sha256(packed).hexdigest())
                     b.append(hashlib.sha256(b" ".join(map(token_bytes.__getitem__, found))).hexdigest())
             columns = [*batch.columns[:-1], pa.array(n, pa.int64())]
-            columns += [pa.array(lists, pa.list_(pa.int32()))] * ids + [pa.array(x, pa.string()) for x in (a, b) if digests]
+            if ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(np.frombuffer(b"".join(lists), np.int32))))
+            columns += [pa.array(x, pa.string()) for x in (a, b) if digests]
             yield pa.RecordBatch.from_arrays(columns, [*names, "n_tokens", *["token_ids"] * ids, *["ids_sha256", "decoded_sha256"] * digests])
 
     return docs.select(*[F.col(f"`{n}`") for n in names], F.col(text).alias("__text")).mapInArrow(run, schema)
