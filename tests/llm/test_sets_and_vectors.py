@@ -22,24 +22,26 @@ def test_components(spark):
     assert got[40] == 0 and got[101] == 100 and len(got) == 43
 
 
-def plain_components(rows):
+def plain_links(rows):
     sets = []
     for _, t in rows:
         w = (t or "").encode().lower().split()
         sets.append(frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)]) if w else frozenset())
-    root = list(range(len(rows)))
+    root, links = list(range(len(rows))), [0] * len(rows)
     for i, a in enumerate(sets):
         for j in range(i):
             both = len(a & sets[j])
             if a and sets[j] and 100 * both >= 80 * (len(a) + len(sets[j]) - both):
                 root[find(root, i)] = find(root, j)
+                links[i] += 1
+                links[j] += 1
     low = {}
     for k, (d, _) in enumerate(rows):
         low[find(root, k)] = min(low.get(find(root, k), 1 << 60), d)
-    return sorted((d, len(sets[k]), low[find(root, k)] if sets[k] else d) for k, (d, _) in enumerate(rows))
+    return sorted((d, len(sets[k]), low[find(root, k)] if sets[k] else d, links[k]) for k, (d, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("p", [jaccard.Params(), jaccard.Params(family=3, leaders=1, together=4, part=6, often=2, shared=3)])
+@pytest.mark.parametrize("p", [jaccard.Params(), jaccard.Params(family=3, leaders=1, together=4, part=6, open_part=5, often=2, shared=3), jaccard.Params(hold=600, told=1)])
 def test_jaccard_join(spark, p):
     rng = random.Random(4)
     word = lambda: "".join(rng.choices("abcdefgh", k=3))
@@ -55,13 +57,24 @@ def test_jaccard_join(spark, p):
     rows += [" ".join([word() for _ in range(30)] + passage) for _ in range(25)] + ["A b  C", "a B\tc", "", None, "  ", "one", "x y z w v", rows[0], rows[0].upper()]
     rows = [(k * 7 % 1009, t) for k, t in enumerate(rows)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1)).withColumn("sig", F.lit(2)).repartition(3)
-    assert sorted(map(tuple, jaccard.jaccard_components(df, p).collect())) == plain_components(rows)
+    assert sorted(map(tuple, jaccard.jaccard_links(df, p).drop("component_key", "text_hash").collect())) == plain_links(rows)
+
+
+def test_overlaps_from_differences():
+    rng = np.random.default_rng(6)
+    base = np.unique(rng.integers(0, 2**64, 300, dtype=np.uint64))
+    sets = [base, base[:40]] + [np.unique(np.concatenate((rng.choice(base, int(rng.integers(1, 300)), replace=False), rng.integers(0, 2**64, 20, dtype=np.uint64)))) for _ in range(60)]
+    sets += [np.unique(rng.integers(0, 50, 30).astype(np.uint64)) for _ in range(20)]
+    got = jaccard.shared_counts(sets, block=64)
+    assert all(got[i, j] == np.intersect1d(a, b).size for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j)
+    hit = jaccard.linked(sets, None, 80)
+    assert (hit == hit.T).all() and not hit.diagonal().any()
 
 
 def test_jaccard_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (None, "q r s t u v")], "doc_id long, text string")
-    assert sorted((r["component_id"] is None, r["component_id"]) for r in jaccard.jaccard_components(df).collect()) == [(False, 5)] * 3 + [(True, None)]
-    assert jaccard.jaccard_components(df.limit(0)).count() == 0
+    assert sorted((r["component_id"] is None, r["component_id"], r["n_links"]) for r in jaccard.jaccard_links(df).collect()) == [(False, 5, 2)] * 3 + [(True, None, 0)]
+    assert jaccard.jaccard_links(df.limit(0)).count() == 0
 
 
 def test_sketch_bounds_never_undercut():
@@ -83,7 +96,7 @@ def test_top_k(spark):
         if i % 50 == 0:
             best = sorted((-int(v @ w), j) for j, w in sound if j != i and len(w) == len(v))[:5]
             want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
-    for p in (topk.Params(), topk.Params(shard=40, part=2, leaf=4)):
+    for p in (topk.Params(), topk.Params(shard=40, part=2, leaf=4), topk.Params(shard=7, part=3, leaf=2, pivots=5)):
         assert sorted(map(tuple, topk.top_k(df, lambda c: c % 50 == 0, p).collect())) == sorted(want)
     big = spark.createDataFrame([(0, [1e12, 1.0]), (1, [1e12, 2.0]), (2, [1e3, 1.0])], "vec_id long, embedding array<double>")
     assert [r["vec_id"] for r in topk.top_k(big, lambda c: c == 0).orderBy("rank").collect()] == [1, 2]
@@ -109,8 +122,8 @@ def test_embedding_dedup(spark):
                 x, y = find(root, i), find(root, j)
                 root[max(x, y)] = min(x, y)
     want = sorted((i, links[i], find(root, i), find(root, i) == i) for i, *_ in rows)
-    for p in (embedding_dedup.Params(), embedding_dedup.Params(block=16, k=4, k_most=8)):
-        assert sorted(map(tuple, embedding_dedup.near_duplicates(df, p).collect())) == want
+    for p in (embedding_dedup.Params(), embedding_dedup.Params(block=2048, k=4, k_most=8)):
+        assert sorted(tuple(r)[:4] for r in embedding_dedup.near_duplicates(df, p).collect()) == want
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -125,22 +138,36 @@ def test_embedding_dedup_of_saturated_lists(spark):
     assert (v[:60] @ v[60:].T >= 0.93).sum() > 100 and (v[:60] @ v[:60].T).min() > 0.97
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     want = [(k, int(n), 0, k == 0) for k, n in enumerate(links)]
-    found = lambda **p: sorted(map(tuple, embedding_dedup.near_duplicates(df, embedding_dedup.Params(**p)).collect()))
+    found = lambda **p: sorted(tuple(r)[:4] for r in embedding_dedup.near_duplicates(df, embedding_dedup.Params(**p)).collect())
     assert found(audit=0) == want  # no audit, which would compare all of so few nodes
-    assert found(audit=0, wide=32) == want
+    assert found(audit=0, block=4096) == want
     # a bound out of reach and no node crowded: all nodes are compared
-    assert found(audit=0, orders=1, window=1, rounds=1, tries=1, k=200, wide=50, recall=1.1) == want
+    assert found(audit=0, orders=1, window=1, rounds=1, tries=1, k=200, block=6400, recall=1.1) == want
+
+
+def test_embedding_dedup_near_the_threshold(spark):
+    rng, rows = np.random.default_rng(9), []
+    for k in range(150):  # pairs at 0.925 to 0.935, of labels that are texts
+        a, b = rng.normal(size=(2, 24))
+        a /= np.linalg.norm(a)
+        b -= a * (a @ b)
+        c = 0.925 + 0.01 * k / 150
+        rows += [(2 * k, [float(x) for x in a], f"l{k % 3}"), (2 * k + 1, [float(x) for x in c * a + np.sqrt(1 - c * c) * b / np.linalg.norm(b)], f"l{k % 3}")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    want = [(k, int(0.925 + 0.01 * (k // 2) / 150 >= 0.93)) for k in range(300)]
+    got = embedding_dedup.near_duplicates(df).collect()
+    assert sorted((r["vec_id"], r["n_links"]) for r in got) == want and {r["recall"] for r in got} == {1.0}
 
 
 def test_mixing(spark):
     letters = {"x": "eee tt ", "y": "zzz qq ww ", "z": "üü ßß öö "}
     rows = [(k, letters[d] * (3 + k % 5), d if k % 6 else None) for k, d in enumerate("xxxxxxyyyz" * 40)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("rate", F.lit(5)).withColumn("tokens", F.lit("t"))
-    got = mixing.mix(docs).cache()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("rate", F.lit(5)).withColumn("tokens", F.lit("t")).withColumn("row", F.lit(1)).withColumn("p", F.lit("q"))
+    got = mixing.mix(docs, "lang").cache()
     sums = {r["domain"]: r["s"] for r in got.groupBy("domain").agg(F.sum(F.col("tokens") * F.col("rate")).alias("s")).collect()}
     assert max(sums.values()) / min(sums.values()) < 1.02 and got.agg(F.min("rate")).first()[0] >= 0.99
     assert sum(r["domain"] == dict(enumerate("xxxxxxyyyz" * 40))[r["doc_id"]] for r in got.collect()) >= 396
-    wanted = mixing.mix(docs, p=mixing.Params(targets={"x": 0.5, "y": 0.5}))
+    wanted = mixing.mix(docs, "lang", p=mixing.Params(targets={"x": 0.5, "y": 0.5}))
     assert wanted.where("domain = 'z' and rate > 0.05").count() == 0
     odd = spark.createDataFrame([(None, None, None), (1, "", "x"), (1, "", "x"), (2, "eee", None)], "doc_id long, text string, lang string")
-    assert mixing.mix(odd).count() == 4 and mixing.mix(odd.where("lang is null")).where("rate <> 1").count() == 0 and mixing.mix(odd.limit(0)).count() == 0
+    assert mixing.mix(odd, "lang").count() == 4 and mixing.mix(odd.where("lang is null"), "lang").where("rate <> 1").count() == 0 and mixing.mix(odd.limit(0), "lang").count() == 0
