@@ -1,8 +1,9 @@
 """Exact top-k inner-product search: a ball tree on every shard, searched by branch and bound.
 
-A shard holds a bounded number of vectors. Queries come in bounded parts. Every part first searches one shard; the k-th scores found there
-go with the queries to all other shards, where a ball is entered only if its upper bound, query . centre + |query| * radius, reaches the
-k-th score so far. Balls are entered by falling bound, and what is found raises the k-th score for the rest.
+Vectors are dealt to the nearest of some pivots, and large cells to several shards, so that a shard is a bounded number of vectors inside
+one ball. A query first searches the cell of highest upper bound, query . centre + |query| * radius; the k-th score found there goes with
+it to those other cells only whose bound reaches it. Inside a shard the same test opens the balls of its tree, by falling bound, and what
+is found raises the k-th score for the rest.
 """
 
 from __future__ import annotations
@@ -14,15 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, scratch, share, table
 
 
 @dataclass(frozen=True)
 class Params:
     k: int = 5
-    #: Vectors of a shard and queries of a part, on average.
-    shard: int = 8192
-    part: int = 4096
+    #: Vectors of a shard and queries of a part, on average; and pivots at most.
+    shard: int = 32_768
+    part: int = 16_384
+    pivots: int = 4096
     leaf: int = 128
     scale: int = 256
 
@@ -141,42 +143,116 @@ def search_cell(p: Params):
     return run
 
 
+def unpacked(column) -> np.ndarray:
+    """Vectors of one length out of a list column."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    n = len(flat)
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 0))
+
+
+def dealt(v: DataFrame, n: int, p: Params) -> tuple[DataFrame, dict[int, tuple]]:
+    """v with cell (its nearest pivot) and part, and by length of vectors the cells' centres, radii and numbers of vectors.
+
+    Pivots are as many vectors, chosen by a hash, as there would be shards, p.pivots at most.
+    """
+    wanted = min(p.pivots, -(-n // p.shard))
+    chosen = v.where(share("vec_id", 1.5 * wanted / max(1, n))).limit(2 * p.pivots).select("dim", "v").collect() if wanted > 1 else []
+    pivots: dict[int, np.ndarray] = {}
+    for r in sorted(chosen):
+        pivots.setdefault(r["dim"], []).append(r["v"])
+    pivots = {k: np.unique(np.array(x, np.float64).reshape(len(x), -1), axis=0) for k, x in pivots.items()}
+    shared = v.sparkSession.sparkContext.broadcast(pivots)
+
+    def run(batches):
+        known = shared.value
+        for batch in batches:
+            dims = batch.column(1).to_numpy()
+            cell, away = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
+            for dim in np.unique(dims):
+                rows = np.flatnonzero(dims == dim)
+                x = unpacked(batch.column(2).take(pa.array(rows)))
+                c = known.get(int(dim), np.zeros((1, int(dim))))
+                for k in range(0, rows.size, 2048):
+                    y = x[k : k + 2048]
+                    near = ((c * c).sum(1)[None] - 2 * (y @ c.T)).argmin(1) if dim else np.zeros(len(y), np.int64)
+                    cell[rows[k : k + 2048]], away[rows[k : k + 2048]] = near, np.sqrt(((y - c[near]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(away)], ["vec_id", "dim", "v", "cell", "away"])
+
+    placed = materialize(v.select("vec_id", "dim", "v").mapInArrow(run, "vec_id long, dim int, v array<double>, cell int, away double"), "placed")
+    sizes = placed.groupBy("dim", "cell").agg(F.max("away").alias("radius"), F.count("*").alias("n"))
+    parts = F.ceil(F.col("n") / p.shard).cast("int")
+    out = placed.join(sizes.select("dim", "cell", parts.alias("parts")), ["dim", "cell"]).withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), "parts").cast("int"))
+    balls: dict[int, tuple] = {}
+    rows = sorted(map(tuple, sizes.collect()))
+    for dim in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == dim]
+        c = pivots.get(dim, np.zeros((1, dim)))
+        balls[dim] = np.array([r[1] for r in own], np.int32), c[[r[1] for r in own]], np.array([r[2] for r in own]), np.array([-(-r[3] // p.shard) for r in own])
+    return out.select("vec_id", "dim", "v", "cell", "shard"), balls
+
+
+def routed(asked: DataFrame, balls: dict[int, tuple], first: bool) -> DataFrame:
+    """A row for each query (q, vec_id, dim, v, bound) and shard to search: with first, those of the cell of highest upper bound; else those of
+    all other cells whose upper bound reaches the query's."""
+    shared = asked.sparkSession.sparkContext.broadcast(balls)
+
+    def run(batches):
+        for batch in batches:
+            dims, bound = batch.column(2).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False).astype(np.float64)
+            for dim in np.unique(dims):
+                rows = np.flatnonzero(dims == dim)
+                cells, centres, radii, parts = shared.value[int(dim)]
+                for k in range(0, rows.size, 512):
+                    at = rows[k : k + 512]
+                    x = unpacked(batch.column(3).take(pa.array(at)))
+                    norm, size = np.sqrt((x * x).sum(1)), np.sqrt((centres * centres).sum(1)) + radii
+                    top = x @ centres.T + norm[:, None] * radii[None] + 1e-9 * norm[:, None] * size[None] + 1e-6 if dim else np.zeros((at.size, len(cells)))
+                    home = top.argmax(1)
+                    go = np.zeros(top.shape, bool) if first else ~(top < bound[at][:, None])
+                    go[np.arange(at.size), home] = first
+                    i, j = np.nonzero(go)
+                    i, j = np.repeat(i, parts[j]), np.repeat(j, parts[j])
+                    shard = np.arange(j.size) - np.maximum.accumulate(np.where(np.append(True, (i[1:] != i[:-1]) | (j[1:] != j[:-1])), np.arange(j.size), 0)) if j.size else j
+                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at[i])) for c in batch.columns), pa.array(cells[j]), pa.array(shard.astype(np.int32))], [*batch.schema.names, "cell", "shard"])
+
+    return asked.select("q", "vec_id", "dim", "v", "bound").mapInArrow(run, "q long, vec_id long, dim int, v array<double>, bound double, cell int, shard int")
+
+
 def top_k(vectors: DataFrame, is_query, p: Params = Params()) -> DataFrame:
     """query_id, rank, vec_id, score: for each query the k rows of highest integer inner product, ties to the smaller vec_id.
 
     Vectors become floor(scale * x). is_query(column vec_id) says which rows are queries; a query's own vec_id is no candidate for it.
     Rows with a null vec_id or vector, or a null or non-finite component, take no part. Rows that repeat a vec_id and its vector are one
     query, but as candidates each counts. Vectors of other lengths are not compared. Scores beyond 64 bits are clamped to them. Fewer
-    than k candidates give fewer rows; an empty table gives an empty table.
+    than k candidates give fewer rows; an empty table gives an empty table; other columns are not looked at.
     """
     sound = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & sound)
-    v = materialize(v.select("vec_id", F.size("embedding").alias("dim"), F.transform("embedding", lambda x: F.floor(x * p.scale).cast("double")).alias("v")), "vectors")
-    n = v.count()
-    shards = max(1, -(-n // p.shard))
-    queries = v.where(is_query(F.col("vec_id"))).dropDuplicates(["vec_id", "v"]).withColumn("q", F.xxhash64("vec_id", "v"))
-    parts = max(1, -(-queries.count() // p.part))
-    by_shard = v.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int"))
-    asked = queries.withColumn("part", F.pmod(F.xxhash64("q", F.lit(2)), F.lit(parts)).cast("int")).withColumn("home", F.pmod(F.col("part"), F.lit(shards)))
-    schema = "q long, query_id long, vec_id long, score long"
-    keys = ("dim", "shard", "part")
+    keys = ("dim", "cell", "shard", "part")
 
     def cells(data: DataFrame, ask: DataFrame) -> DataFrame:
-        data = data.select(*[F.col(c).alias(c) for c in data.columns])  # both sides come from one table
-        return data.groupBy(*keys).cogroup(ask.groupBy(*keys)).applyInArrow(search_cell(p), schema)
-
-    homes = F.filter(F.sequence(F.lit(0), F.lit(parts - 1)), lambda x: F.pmod(x, F.lit(shards)) == F.col("shard"))
-    first = materialize(cells(by_shard.withColumn("part", F.explode(homes)), asked.withColumn("shard", F.col("home")).withColumn("bound", F.lit(None).cast("double"))), "first")
-    if shards == 1:
-        found = first
-    else:
-        bounds = first.groupBy("q").agg(F.min("score").alias("low"), F.count("*").alias("n")).where(F.col("n") >= p.k).select("q", F.col("low").cast("double").alias("bound"))
-        others = F.filter(F.sequence(F.lit(0), F.lit(parts - 1)), lambda x: F.pmod(x, F.lit(shards)) != F.col("shard"))
-        rest = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda x: x != F.col("home"))
-        asked = asked.join(bounds, "q", "left").withColumn("shard", F.explode(rest))
-        found = first.unionByName(cells(by_shard.withColumn("part", F.explode(others)), asked))
-    order = Window.partitionBy("q", "query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
+        """Searches of all (shard, query) pairs: a shard's queries come in parts, and its vectors once for each part."""
+        parts = ask.groupBy("dim", "cell", "shard").agg(F.ceil(F.count("*") / p.part).cast("int").alias("parts"))
+        ask = ask.join(parts, ["dim", "cell", "shard"]).withColumn("part", F.pmod(F.xxhash64("q", F.lit(2)), "parts").cast("int")).drop("parts")
+        data = data.join(parts, ["dim", "cell", "shard"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        one, two = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (data, ask))
+        return one.groupBy(*keys).cogroup(two.groupBy(*keys)).applyInArrow(search_cell(p), "q long, query_id long, vec_id long, score long")
+
+    with scratch() as keep:
+        v = materialize(v.select("vec_id", F.size("embedding").alias("dim"), F.transform("embedding", lambda x: F.floor(x * p.scale).cast("double")).alias("v")), "vectors")
+        data, balls = dealt(v, v.count(), p)
+        asked = v.where(is_query(F.col("vec_id"))).dropDuplicates(["vec_id", "v"]).withColumn("q", F.xxhash64("vec_id", "v")).withColumn("bound", F.lit(None).cast("double"))
+        asked = materialize(asked, "queries")
+        found = materialize(cells(data, materialize(routed(asked, balls, True), "homes")), "first")
+        if any(len(b[0]) > 1 for b in balls.values()):
+            # the best k of each shard are there, so the k-th best of all is what bounds the rest
+            order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+            kth = found.withColumn("r", F.row_number().over(order)).where(F.col("r") == p.k).select("q", F.col("score").cast("double").alias("low"))
+            rest = routed(asked.drop("bound").join(kth, "q", "left").withColumnRenamed("low", "bound"), balls, False)
+            found = found.unionByName(cells(data, materialize(rest, "others")))
+        order = Window.partitionBy("q", "query_id").orderBy(F.desc("score"), "vec_id")
+        ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= p.k)
+        return keep(materialize(ranked.select("query_id", "rank", "vec_id", "score"), "top"))
 
 
 def op7_ball_tree_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
