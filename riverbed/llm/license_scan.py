@@ -49,7 +49,20 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "cc0": (r".*\b(?:cc0|creative commons zero)\b(?: 1\.0)?(?: universal)?.*",),
     "cc": (r".*(?:licensed|released|distributed|available|shared) under (?:a |the )?(?:creative commons|cc)[ -](?P<parts>by(?:-nc)?(?:-sa|-nd)?|attribution(?:[- ]noncommercial)?(?:[- ](?:sharealike|noderivatives|noderivs))?)[ -]?(?P<version>[1-4]\.[05])?.*",),
     "rights": (r"all rights reserved",),
-    "copyright": (r"(?:copyright|\(c\)|©)(?: \(c\)| ©)? (?:[0-9]{4}(?:[-, ]+[0-9]{4})*),? .{1,120}",),
+    "copyright": (r"(?:copyright|\(c\)|©)(?: \(c\)| ©)? (?:[0-9]{4}(?:[-, ]+[0-9]{4})*),? .+",),
+    # the licence texts themselves
+    "gpl-3-text": (r"the gnu general public license is a free, copyleft license for software and other kinds of works",),
+    "gpl-2-text": (r"the licenses for most software are designed to take away your freedom to share and change it",),
+    "lgpl-text": (r"this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license, supplemented by the additional permissions listed below",),
+    "agpl-text": (r"the gnu affero general public license is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software",),
+    "mpl-notice": (r"this source code form is subject to the terms of the mozilla public license, v\. 2\.0",),
+    "mpl-copy": (r"if a copy of the mpl was not distributed with this file, you can obtain one at https?://(?:www\.)?mozilla\.org/mpl/2\.0/?",),
+    "epl-text": (r"the accompanying program is provided under the terms of this eclipse public license \(agreement\)", r"this program and the accompanying materials are made available under the terms of the eclipse public license v? ?(?:2\.0|1\.0).*"),
+    "cc-text": (r"by exercising the licensed rights \(defined below\), you accept and agree to be bound by the terms and conditions of this creative commons (?P<parts>attribution(?:-noncommercial)?(?:-(?:sharealike|noderivatives))?) (?P<version>4\.0) international public license \(public license\)",),
+    "zlib-asis": (r"this software is provided as-is, without any express or implied warranty",),
+    "zlib-grant": (r"permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely.*",),
+    "bsl-grant": (r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license.*",),
+    "apache-text": (r"subject to the terms and conditions of this license, each contributor hereby grants to you a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce.*",),
 }
 
 #: Ordered rules (licence, sentence identifiers in their order). An earlier rule takes its sentences first.
@@ -79,14 +92,28 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC0-1.0", ("cc0",)),
     ("CC", ("cc",)),
     ("SPDX", ("spdx",)),
+    ("GPL-3.0", ("gpl-3-text",)),
+    ("GPL-2.0", ("gpl-2-text",)),
+    ("LGPL-3.0", ("lgpl-text",)),
+    ("AGPL-3.0", ("agpl-text",)),
+    ("MPL-2.0", ("mpl-notice", "mpl-copy")),
+    ("MPL-2.0", ("mpl-notice",)),
+    ("EPL", ("epl-text",)),
+    ("CC", ("cc-text",)),
+    ("Zlib", ("zlib-asis", "zlib-grant")),
+    ("BSL-1.0", ("bsl-grant",)),
+    ("Apache-2.0", ("apache-text",)),
     ("proprietary", ("copyright", "rights")),
     ("proprietary", ("rights",)),
 )
 #: Identifiers as they are written.
 SPDX = {i.lower(): i for i in ("Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "ISC", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")}
 #: A sentence that holds none of these words is no licence sentence.
-_HINT = re.compile(r"licen[cs]|permission|redistribut|copyright|warrant|free software|public domain|rights reserved|cc0|gpl|obtain a copy|spdx|©|\(c\)|received a copy|neither the name|unencumbered|permitted|in compliance|under the (?:mit|bsd)", re.IGNORECASE)
-_END = re.compile(r"(?<=[.!?])[)\"']*\s+|\n+")
+_HINT = re.compile(r"licen[cs]|permission|redistribut|copyright|warrant|free software|public domain|rights reserved|cc0|gpl|obtain a copy|spdx|©|\(c\)|received a copy|neither the name|unencumbered|permitted|in compliance|under the (?:mit|bsd)|free, copyleft|licensed rights|granted to anyone|eclipse public", re.IGNORECASE)
+#: Characters around a hint word in which a sentence's begin and end are looked for; well above the longest known sentence.
+REACH = 2000
+#: Characters that may stand between two sentences of one notice; farther apart they belong to two.
+APART = 5000
 _STOP = re.compile(r"(?<=[.!?])[)\"']*\s+")
 _LINE = re.compile(r"[^\n]+")
 _COMMENT = re.compile(r"[ \t]*(?:(?://+|#+|\*+(?!/)|;+|--+|%+|>+|\|+)[ \t]*)?")
@@ -156,19 +183,15 @@ class Recogniser:
             if hint.start() < done:
                 continue
             line = bisect_right(tos, hint.start()) - 1
-            near = max(tos[line], *(joined.rfind(e, max(0, hint.start() - 400), hint.start()) + 1 for e in (". ", "! ", "? ")))
             whole = stop_to[bisect_right(stop_to, hint.start()) - 1]
             # the hint's own line first, then lines before it back to the sentence's start
-            begins = [near, *(tos[k] for k in range(line - 1, -1, -1) if tos[k] > whole), whole]
-            ends, k = [], hint.end()
-            for _ in range(4):  # a full stop inside a version, or a line's end inside a sentence
-                stop = _END.search(joined, k)
-                ends.append(stop.start() if stop else len(joined))
-                if not stop:
-                    break
-                k = stop.end()
+            first_line = bisect_left(tos, max(whole + 1, hint.start() - REACH))
+            begins = dict.fromkeys([max(tos[line], whole), *reversed(tos[first_line:line]), whole])
+            # every line's end up to the next full stop but one, as a stop may be part of a version
             j = bisect_left(stop_at, hint.end())
-            ends += [e for e in stop_at[j : j + 4] if e not in ends]
+            last_stop = stop_at[min(j + 3, len(stop_at) - 1)]
+            lines = [t - 1 for t in tos[line + 1 : bisect_right(tos, min(last_stop, hint.end() + REACH))]]
+            ends = sorted({*lines, *stop_at[j : j + 4]})
             for begin, end in ((x, y) for x in begins for y in ends if x >= done):
                 if (begin, end) in tried:
                     continue
@@ -181,20 +204,26 @@ class Recogniser:
         return out
 
     def notices(self, text: str) -> list[tuple[str, int, int, str]]:
-        """(licence, start, end, sentence identifiers) by rule: a rule's sentences in their order, others may stand between."""
+        """(licence, start, end, sentence identifiers) by rule: a rule's sentences in their order, others may stand between, APART at most.
+
+        Each rule looks at what earlier ones have left, once from front to back; a rule's first sentence begins it anew.
+        """
         left, out = self.sentences(text), []
         for name, wanted in self.rules:
-            while True:
-                taken, k = [], 0
-                for s in left:
-                    if k < len(wanted) and s.kind == wanted[k]:
-                        taken.append(s)
-                        k += 1
-                if k < len(wanted):
-                    break
-                left = [s for s in left if s not in taken]
-                fields = {n: v for s in taken for n, v in s.fields.items()}
-                out.append((resolve(name, fields), taken[0].start, taken[-1].end, "+".join(wanted)))
+            taken, used = [], set()
+            for k, s in enumerate(left):
+                if taken and s.start - left[taken[-1]].end > APART:
+                    taken = []
+                if s.kind == wanted[len(taken)]:
+                    taken.append(k)
+                elif s.kind == wanted[0]:
+                    taken = [k]
+                if len(taken) == len(wanted):
+                    own = [left[i] for i in taken]
+                    out.append((resolve(name, {n: v for x in own for n, v in x.fields.items()}), own[0].start, own[-1].end, "+".join(wanted)))
+                    used.update(taken)
+                    taken = []
+            left = [s for k, s in enumerate(left) if k not in used] if used else left
         return sorted(out, key=lambda r: (r[1], r[2], r[0]))
 
 
@@ -217,8 +246,9 @@ def resolve(name: str, fields: dict[str, str]) -> str:
 def scan(docs: DataFrame, sentences: dict[str, tuple[str, ...]] | None = None, rules=None) -> DataFrame:
     """doc_id, n_notices, licenses (sorted identifiers, comma-joined), notices array<struct<license, start, end, rule>> of every row.
 
-    Offsets are code points, end exclusive. Null and empty texts have no notices; repeated rows stay; other columns are not looked at.
-    One Arrow batch of whole texts is held at a time; nothing is shuffled.
+    Offsets are code points, end exclusive. Null and empty texts have no notices; repeated rows stay; other columns are not looked at; an
+    empty table gives an empty table. Texts are taken whole: a sentence may stand anywhere, over any number of lines within REACH. Where
+    two rules fit, the earlier one takes the sentences. One Arrow batch is held at a time; nothing is shuffled.
     """
 
     def run(batches):
