@@ -1,10 +1,10 @@
 """Personal data by weak supervision. Spark expressions only, one pass over the texts.
 
-Base spans (email, ip, card, phone) are fixed by patterns and tests. Looser patterns propose further candidates. Five labelers vote on
-every candidate, base or not: the pattern's own test, a gazetteer, words in front, the shape of the value, and what touches it. How often
+Base spans (email, ip, card, phone) are fixed by patterns and tests. Looser patterns propose further candidates apart from them. Five
+labelers vote on every candidate, base or not: the pattern's own test, a gazetteer, words in front, the shape of the value, and what touches it. How often
 each combination of votes occurs is counted over the whole corpus (a few hundred rows at most, whatever its size); from these counts,
 expectation-maximisation estimates how reliable each labeler is and how likely each combination is personal data. A logistic classifier
-learns those likelihoods from votes, kind and length, and decides on the candidates that are not base spans.
+learns those likelihoods from votes, kind and length, and alone decides on the candidates that are not base spans.
 """
 
 from __future__ import annotations
@@ -34,7 +34,14 @@ LOOSE = (
 NEAR_FOR = {0: "e-?mail|contact|write|reach|address|mailto", 1: "ip|host|server|login|address|client", 2: "card|visa|master|amex|credit|debit|payment", 3: "phone|tel|call|mobile|cell|fax|sms|dial|contact", 4: "ssn|social|security|tax", 5: "name|dear|patient|signed|contact|from"}
 NEAR_AGAINST = "version|release|isbn|order|invoice|section|chapter|serial|build|part no|sku|example"
 TOP_LEVEL = "com|org|net|edu|gov|io|co|info|de|fr|es|uk|eu|us|it|nl|ch|at|example"
-GIVEN = "James|Mary|John|Patricia|Robert|Jennifer|Michael|Linda|David|Elizabeth|William|Barbara|Richard|Susan|Joseph|Jessica|Thomas|Sarah|Anna|Maria|Hans|Peter|Klaus|Jean|Pierre|Marie|Jose|Juan|Carlos|Ana"
+#: Common given and family names of English, German, French and Spanish; find(names=...) takes a gazetteer of any size.
+NAMES = (
+    "Adam|Agnes|Albert|Alejandro|Alexander|Alfred|Alice|Amanda|Ana|Andrea|Andreas|Andrew|Angela|Anna|Anne|Anthony|Antoine|Antonio|Arthur|Barbara|Beatriz|Benjamin|Bernard|Brian|Camille|Carlos|Carmen|Catherine|Charles|Charlotte|Christian|"
+    "Christine|Claire|Claudia|Daniel|David|Deborah|Diego|Dorothy|Edward|Elena|Elizabeth|Emily|Emma|Eric|Ernst|Eva|Fernando|Francisco|Frank|Friedrich|Gabriel|George|Georg|Hannah|Hans|Heinrich|Helen|Helga|Henri|Henry|Ingrid|Isabel|Jacques|"
+    "James|Javier|Jean|Jennifer|Jessica|Johann|John|Jorge|Jose|Joseph|Juan|Julia|Julie|Karen|Karl|Kevin|Klaus|Laura|Linda|Louis|Lucia|Luis|Manuel|Margaret|Maria|Marie|Mark|Martin|Mary|Matthew|Michael|Miguel|Monika|Nancy|Nicolas|Otto|"
+    "Pablo|Patricia|Paul|Pedro|Peter|Petra|Philippe|Pierre|Rachel|Richard|Robert|Rosa|Ruth|Sabine|Samuel|Sandra|Sarah|Sofia|Sophie|Stefan|Stephen|Steven|Susan|Thomas|Ursula|Walter|Werner|William|Wolfgang|"
+    "Anderson|Bauer|Becker|Bernard|Brown|Davis|Dubois|Durand|Fernandez|Fischer|Garcia|Gonzalez|Hernandez|Hoffmann|Johnson|Jones|Koch|Lambert|Leroy|Lopez|Martinez|Meyer|Miller|Moreau|Moore|Perez|Petit|Richter|Rodriguez|Roux|Sanchez|Schmidt|Schneider|Schulz|Simon|Smith|Taylor|Torres|Wagner|Weber|Williams|Wilson"
+)
 VOTES = 5
 CONTEXT = 40
 
@@ -69,14 +76,14 @@ def vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
 
-def judge(text: Column, c: Column, kind: int, base: bool) -> Column:
+def judge(text: Column, c: Column, kind: int, base: bool, names: str = NAMES) -> Column:
     """struct of kind, base, start, end, votes v0.. and size (0..3) for one candidate."""
     v, d = c["value"], digits(c["value"])
     before = F.lower(F.substring(text, F.greatest(c["start"] - CONTEXT, F.lit(0)) + 1, F.least(c["start"], F.lit(CONTEXT))))
     last = F.when(c["start"] > 0, F.substring(text, c["start"], F.lit(1))).otherwise("")
     after = F.substring(text, c["end"] + 1, F.lit(1))
     test = holds(kind, v) if kind < BASE and base else F.lit(None).cast("boolean")
-    known = {0: F.lower(v).rlike(rf"[.)\]]\s?({TOP_LEVEL})$"), 1: ~v.rlike(r"^(0|127|255)\.") , 2: d.rlike("^(4|5[1-5]|2[2-7]|3[47]|6011|65)"), 3: d.rlike("^(1|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])"), 4: ~v.rlike("^(000|666|9)|-00-|-0000$"), 5: v.rlike(rf"\b({GIVEN})\b")}[kind]
+    known = {0: F.lower(v).rlike(rf"[.)\]]\s?({TOP_LEVEL})$"), 1: ~v.rlike(r"^(0|127|255)\.") , 2: d.rlike("^(4|5[1-5]|2[2-7]|3[47]|6011|65)"), 3: d.rlike("^(1|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])"), 4: ~v.rlike("^(000|666|9)|-00-|-0000$"), 5: v.rlike(rf"\b({names})\b")}[kind]
     shape = {0: ~v.rlike(r"(?i)^\S{0,1}@|\.\.|noreply|no-reply"), 1: F.lit(True), 2: ~d.rlike(r"^(\d)\1+$"), 3: ~d.rlike(r"(\d)\1{6}|1234567"), 4: ~d.rlike(r"^(\d)\1+$|^123456789$"), 5: F.length(v) > 6}[kind]
     votes = (
         vote(test, ~test),
@@ -90,17 +97,19 @@ def judge(text: Column, c: Column, kind: int, base: bool) -> Column:
     return F.struct(F.lit(kind).alias("kind"), F.coalesce(sure, F.lit(False)).alias("base"), c["start"].alias("start"), c["end"].alias("end"), *[F.coalesce(x, F.lit(0)).alias(f"v{k}") for k, x in enumerate(votes)], size.alias("size"))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id and found: array of judged candidates, base spans and others."""
+def candidates(docs: DataFrame, names: str = NAMES) -> DataFrame:
+    """doc_id and found: array of judged candidates, base spans and others that touch none of them."""
     text = F.col("text")
     at = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     some = {"m0": (text.contains("@"), EMAIL), "m1": (text.rlike(r"[0-9]\.[0-9]"), IP), "m2": (text.rlike("[0-9]"), CARD), "m3": (text.contains("+"), PHONE)}
     raw = at.select("doc_id", "text", *[spans_where(text, test, pattern).alias(k) for k, (test, pattern) in some.items()], *[spans_where(text, text.rlike(test), pattern).alias(f"x{k}") for k, (_, test, pattern) in enumerate(LOOSE)])
     likely = lambda k: (lambda c: F.length(digits(c["value"])) >= 12) if k == 2 else (lambda c: F.lit(True))  # noqa: E731  short runs of digits are no cards and need no vote
-    judged = lambda k, base: lambda c: judge(text, c, k, base)
+    judged = lambda k, base: lambda c: judge(text, c, k, base, names)
     lists = [F.transform(F.filter(F.col(f"m{k}"), likely(k)), judged(k, True)) for k in range(BASE)]
     lists += [F.transform(f"x{j}", judged(k, False)) for j, (k, _, _) in enumerate(LOOSE)]
-    return raw.select("doc_id", F.concat(*lists).alias("found"))
+    every = raw.select("doc_id", F.concat(*lists).alias("found")).withColumn("base", F.filter("found", lambda c: c["base"]))
+    apart = lambda c: c["base"] | ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    return every.select("doc_id", F.filter("found", apart).alias("found"))
 
 
 def weigh(counts: list[tuple], rounds: int = 60) -> np.ndarray:
@@ -164,25 +173,28 @@ def chance(c: Column, w: np.ndarray) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
-def find(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
+def find(docs: DataFrame, threshold: float = 0.9, names: str = NAMES) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans and n_added of every row of docs.
 
     A span is kind:start:end in code points, end exclusive, ordered by kind (email, ip, card, phone, ssn, name) and start. Candidates
-    that are not base spans are added when the classifier's probability reaches threshold, a word in front speaks for them, and they
-    touch no base span. Null and empty texts have no spans and the digest of the empty string; repeated rows stay; an empty table gives
+    that are not base spans are added when the classifier's probability reaches threshold; of two that overlap the likelier one, then the
+    one that begins first. names is the gazetteer, names joined by |. Texts are taken whole, whatever their length. Null and empty texts have no spans and the digest of the empty string; repeated rows stay; an empty table gives
     an empty table; other columns are not looked at.
     """
-    found = materialize(candidates(docs), "pii")
-    names = ["kind", *[f"v{k}" for k in range(VOTES)], "size"]
-    counts = found.select(F.explode("found").alias("c")).groupBy(*[F.col(f"c.{n}").alias(n) for n in names]).count().collect()
+    found = materialize(candidates(docs, names), "pii")
+    fields = ["kind", *[f"v{k}" for k in range(VOTES)], "size"]
+    counts = found.select(F.explode("found").alias("c")).groupBy(*[F.col(f"c.{n}").alias(n) for n in fields]).count().collect()
     w = train(sorted(tuple(r) for r in counts)) if counts else np.zeros(1 + 2 * VOTES + len(KINDS) + 4)
     base = F.filter("found", lambda c: c["base"])
-    added = F.filter("found", lambda c: ~c["base"] & (c["v2"] > 0) & (c["v4"] > 0) & (chance(c, w) >= threshold) & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    likely = F.filter(F.transform(F.filter("found", lambda c: ~c["base"]), lambda c: F.struct((-F.round(chance(c, w), 9)).alias("p"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))), lambda c: c["p"] <= -threshold)
+    take = lambda out, c: F.when(F.exists(out, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])), out).otherwise(F.array_append(out, c))
+    added = F.aggregate(F.array_sort(likely), F.filter(likely, lambda c: F.lit(False)), take)
+    span = lambda x: F.transform(x, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
     place = lambda x: F.array_sort(F.transform(x, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))))
     label = lambda c: F.element_at(F.array(*[F.lit(k) for k in KINDS]), c["kind"] + 1)
     text = lambda x: F.array_join(F.transform(x, lambda c: F.concat_ws(":", label(c), c["start"].cast("string"), c["end"].cast("string"))), ",")
     of_kind = lambda k: lambda c: c["kind"] == k
-    held = found.withColumn("base", base).withColumn("added", added).select("doc_id", place("base").alias("base"), place(F.concat("base", "added")).alias("every"), F.size("added").cast("long").alias("n_added"))
+    held = found.withColumn("base", base).withColumn("added", added).select("doc_id", place("base").alias("base"), place(F.concat(span("base"), span("added"))).alias("every"), F.size("added").cast("long").alias("n_added"))
     return held.select(
         "doc_id",
         *[F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(BASE)],
