@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op6_bpe_forced_boundaries
-from .embedding_dedup import op2_embedding_nn_descent
-from .jaccard import op9_jaccard_join
+from .embedding_dedup import OP2_SQL, op2_embedding_nn_descent
+from .jaccard import OP9_SQL, op9_jaccard_join
 from .langid import op5_language_centroids
 from .license_scan import op8_license_sentences
 from .mixing import op10_mixing_soft_membership
@@ -32,5 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL by query name.
 ORACLES: dict[str, str] = {
+    "op2_embedding_nn_descent": OP2_SQL,
     "op7_ball_tree_top5": OP7_SQL,
+    "op9_jaccard_join": OP9_SQL,
 }
