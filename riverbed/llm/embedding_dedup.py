@@ -35,12 +35,14 @@ class Params:
     #: Rounds end when one adds less than this share of new links, or after so many.
     settled: float = 0.001
     rounds: int = 8
+    #: After the first round only neighbours within this of the threshold are joined: links are what is looked for, not the whole graph.
+    near: float = 0.25
     #: Nodes that the audit compares with all (about), and the recall it asks for.
     audit: int = 1024
     recall: float = 0.999
     tries: int = 3
     #: Bytes of the vectors in a block: inside a component, and where nodes are compared with all of their label.
-    block: int = 8 << 20
+    block: int = 2 << 20
     seed: int = 17
 
 
@@ -167,7 +169,7 @@ def refine(lists: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(lo[keep]), pa.array(hi[keep]), pa.array(sim[keep])], ["a", "b", "sim"])
 
     back = Window.partitionBy("mid").orderBy(F.desc("sim"), "id")
-    lows = lists.groupBy("a").agg(F.min("last").alias("low"))
+    lows = lists.groupBy("a").agg(F.min(F.when(F.col("full"), F.col("last")).otherwise(p.threshold - p.near)).alias("low"))
     there = lists.select(F.col("a").alias("mid"), F.col("b").alias("id"), "sim", "k")
     # those that list the node, as many as a list holds: a node that very many list joins its nearest ones
     here = lists.select(F.col("b").alias("mid"), F.col("a").alias("id"), "sim", "k").withColumn("r", F.row_number().over(back)).where("r <= k").drop("r")
@@ -323,7 +325,7 @@ def near_duplicates(vectors: DataFrame, p: Params = Params()) -> DataFrame:
                 lengths = lists.where((F.col("last") >= p.threshold - LOOSE) & F.col("full")).groupBy("a").agg(F.least(F.max("k") * 2, F.lit(p.k_most)).alias("k"))
                 fresh = materialize(refine(lists, nodes, p), "refined")
                 before, added = near(lists).count() / 2, near(fresh).join(lists.select("a", "b"), ["a", "b"], "left_anti").count()
-                edges = lists.select("a", "b", "sim").unionByName(fresh)
+                edges = lists.select("a", "b", "sim").unionByName(fresh).where(F.col("sim") >= p.threshold - p.near)
                 if added <= p.settled * before:
                     break
             linked = materialize(confirmed(edges, nodes, p), "linked")
