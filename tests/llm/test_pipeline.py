@@ -40,6 +40,16 @@ def test_near_copy_stage(spark, docs):
     assert ids(twice).count(7) == 1
 
 
+def test_texts_of_one_id_are_judged_apart(spark, docs):
+    """An id with two texts loses only the one that is a copy; texts without a word are no copies of one another."""
+    rows = docs.where("doc_id in (3, 5)").collect()
+    more = spark.createDataFrame([(3, rows[1]["text"] + " end", "en", "s", 1), (950, rows[1]["text"], "en", "s", 1), (950, "quite other words stand in this row of the table", "en", "s", 1), (951, "", "en", "s", 0), (951, " ", "en", "s", 1), (None, rows[0]["text"], "en", "s", 1)], SCHEMA)
+    kept = P.near_copies(spark, docs.union(more), "").collect()
+    texts = lambda i: sorted(r["text"] for r in kept if r["doc_id"] == i)
+    assert texts(950) == ["quite other words stand in this row of the table"] and texts(951) == ["", " "] and len(texts(None)) == 1
+    assert texts(3) == sorted([rows[0]["text"], rows[1]["text"] + " end"]) and not texts(5)
+
+
 def test_secret_stage(spark, docs):
     kept = {r["doc_id"]: r for r in P.secrets(spark, docs, "").collect()}
     assert sorted(kept) == ids(docs) and "[SECRET]" in kept[904]["text"] and kept[904]["n_chars"] == len(kept[904]["text"])
