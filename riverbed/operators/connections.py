@@ -196,11 +196,13 @@ def by_key(batches, ports: set[int], timing: Timing):
 
 
 def track(packets: DataFrame, ports: list[int], timing: Timing = Timing()) -> DataFrame:
-    """Flow events of decoded packets. ports: the service ports, a small list.
+    """Flow events of decoded packets. ports: the service ports, a small list; without any there is no flow, and nothing is read.
 
     One flow's open state is held at a time, in Arrow batches. Held bytes of a direction are bounded, so a flow of any length streams
     through.
     """
+    if not ports:
+        return packets.sparkSession.createDataFrame([], EVENT)
     schema = schema_of(EVENT)
 
     def run(batches):
@@ -219,6 +221,8 @@ def dataflow(packets: DataFrame, ports: list[int], http_ports: list[int], timing
     Bytes go to the parser in the order in which the tracker gives them out, so one exchange by flow key serves both.
     """
     fields = EVENT + "".join(f", {f}" for f in http1.CONTENT.split(", ") if f.split()[0] not in {x.split()[0] for x in EVENT.split(", ")})
+    if not ports:
+        return packets.sparkSession.createDataFrame([], fields)
     schema, speaking = schema_of(fields), set(http_ports)
 
     def run(batches):

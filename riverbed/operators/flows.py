@@ -13,6 +13,10 @@ from . import facts
 COLUMNS = ("flow_id", "started_ns", "ended_ns", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "service", "packets_c2s", "packets_s2c", "bytes_c2s", "bytes_s2c", "truncated")
 
 
+#: Rows of a page at most.
+MOST = 500
+
+
 @dataclass(frozen=True)
 class TrafficFilter:
     service: str | None = None
@@ -72,11 +76,18 @@ def select_flows(flows: DataFrame, f: TrafficFilter, http: DataFrame | None = No
 def page(flows: DataFrame, f: TrafficFilter) -> DataFrame:
     """Newest first, flow_id deciding ties; at most 500 rows, 100 unless asked otherwise."""
     cols = [c for c in COLUMNS if c in flows.columns]
-    return flows.select(*cols).orderBy(F.desc("started_ns"), "flow_id").offset(f.offset or 0).limit(min(100 if f.limit is None else f.limit, 500))
+    return flows.select(*cols).orderBy(F.desc("started_ns"), "flow_id").offset(f.offset or 0).limit(min(100 if f.limit is None else f.limit, MOST))
 
 
 def enrich(rows: DataFrame, favorites: DataFrame, http: DataFrame, matches: DataFrame) -> DataFrame:
-    """A page with favorite, user_agent and pattern_ids. Only the page's flows are looked up; a page has 500 rows at most."""
+    """A page with favorite, user_agent and pattern_ids. Only the page's flows are looked up.
+
+    A page has 500 rows at most, so it is worked out once, here, and its ids go to the look-ups; more rows are an error.
+    """
+    spark, found = rows.sparkSession, rows.limit(MOST + 1).collect()
+    if len(found) > MOST:
+        raise ValueError(f"a page has {MOST} rows at most")
+    rows = spark.createDataFrame(found, rows.schema)
     ids = F.broadcast(rows.select("flow_id"))
     fav = favorites.select("flow_id").distinct().withColumn("favorite", F.lit(True))
     out = rows.join(fav.join(ids, "flow_id", "left_semi"), "flow_id", "left").withColumn("favorite", F.coalesce("favorite", F.lit(False)))

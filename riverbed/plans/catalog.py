@@ -200,6 +200,16 @@ query("udp_stream_offsets", "SELECT frame_no, CAST(coalesce(sum(payload_len) OVE
 query("service_attribution", "SELECT frame_no, coalesce(a.name, b.name) AS service FROM packets LEFT JOIN services AS a ON a.enabled AND a.port = dst_port LEFT JOIN services AS b ON b.enabled AND b.port = src_port", "packets", "services")(lambda s, d: sessions.attribute(A.packets(s, d), A.services(s)).select("frame_no", "service"))
 query("http_service_names", "SELECT frame_no, s.name AS http_service FROM packets LEFT JOIN services AS s ON s.enabled AND s.http AND s.port = dst_port", "packets", "services")(lambda s, d: sessions.http_service(A.packets(s, d), A.services(s)).select("frame_no", "http_service"))
 
+
+
+@query("flow_generations", """SELECT frame_no, CAST(sum(CASE WHEN bare AND seq IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY frame_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS generation FROM (
+  SELECT *, last_value(CASE WHEN bare THEN seq END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY frame_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (
+  SELECT frame_no, user_id, frame_no % 3 = 0 AS bare, frame_no // 7 % 2 AS seq FROM packets))""", "packets")
+def flow_generations(s, d):
+    p = A.packets(s, d).withColumn("flags", F.struct((F.col("frame_no") % 3 != 1).alias("syn"), (F.col("frame_no") % 3 == 2).alias("ack"))).withColumn("seq", F.floor(F.col("frame_no") / 7) % 2)
+    return sessions.generations(p, ["user_id"]).select("frame_no", "generation")
+
+
 # --- matching --------------------------------------------------------------------------------------------------------------------
 
 query("pattern_view_expansion", "SELECT id, scan_view FROM pat JOIN (VALUES ('both', 'tcp_raw'), ('both', 'http_request_decoded_body'), ('both', 'http_response_decoded_body'), ('input', 'http_request_headers'), ('input', 'http_request_body'), ('input', 'http_request_decoded_body'), ('output', 'http_response_headers'), ('output', 'http_response_body'), ('output', 'http_response_decoded_body')) AS v(direction_type, scan_view) USING (direction_type) WHERE enabled AND view IS NULL UNION SELECT id, view FROM pat WHERE enabled AND direction_type = 'both' AND view IS NOT NULL", "pat")(lambda s, d: matching.expanded(registry.latest_patterns(A.patterns(s))).select("id", "scan_view"))
@@ -374,6 +384,8 @@ TRAFFIC = {
     "fragments_assembled": traffic.assembled,
     "flows_from_frames": traffic.flows,
     "flows_from_captures": traffic.flows_of_captures,
+    "flows_from_filtered_frames": traffic.filtered,
+    "capture_statistics": traffic.statistics,
     "streams_reassembled": traffic.streams,
     "stream_gaps": traffic.gaps,
     "http_messages_parsed": traffic.messages,

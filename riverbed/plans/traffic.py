@@ -194,6 +194,17 @@ def headers(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy(F.floor(F.col("frame_no") / 1_000_000).alias("conv_id")).agg(F.min(F.when(up, F.col("src_ip")).otherwise(F.col("dst_ip"))).alias("client"), F.count_distinct("l2_domain").alias("domains"), F.max(F.col("l2_domain") != "0").alias("tagged"), F.max(F.when(up, F.col("src_port"))).cast("bigint").alias("client_port"), F.max("eth_src").alias("eth_src"), F.count_if("flags.syn").alias("syns"), F.count_if("flags.fin").alias("fins"), F.count_if("flags.rst").alias("resets"))
 
 
+def statistics(spark: SparkSession, d: str) -> DataFrame:
+    read = files.captures_of(files.rotated_captures(frames(spark, d), 100_000))
+    return files.capture_stats(read).select("frames", "cut_off", F.floor(F.col("first_ns") / SECOND).alias("first_s"))
+
+
+def filtered(spark: SparkSession, d: str) -> DataFrame:
+    """Flows of the frames that pass the filter of the source: the same as of all."""
+    f = frames(spark, d).where(decode.worth_decoding(F.col("data"), [PORT]))
+    return flow_rows(connections.flows(connections.track(fragments.assemble(decode.frames_to_packets(f)), [PORT])))
+
+
 def rejected(spark: SparkSession, d: str) -> DataFrame:
     f = frames(spark, d).where(~decode.worth_decoding(F.col("data"), [PORT]))
     return f.groupBy(F.floor(F.col("frame_no") / 1_000_000).alias("conv_id")).agg(F.count("*").alias("frames"))
@@ -306,6 +317,7 @@ SQL: dict[str, tuple[str, tuple[str, ...]]] = {
     "decode_statuses": (f"""SELECT c AS conv_id, 'packet' AS status, frames - cuts + acks + {OPEN} + {NOISY} AS frames, bytes + CASE WHEN udp THEN 1 ELSE 0 END + 4 * ({NOISY}) - coalesce(cut_bytes, 0) AS payload FROM talks LEFT JOIN (
         SELECT c, CAST(sum((n // {SEGMENT}) * {SEGMENT} + CASE WHEN rest + head > {FRAGMENT} THEN rest ELSE 0 END + again * CASE WHEN first + head > {FRAGMENT} THEN first ELSE 0 END) AS BIGINT) AS cut_bytes FROM parted WHERE c % 8 = 5 GROUP BY c) USING (c)
       UNION ALL SELECT c, 'fragment', 2 * cuts, 0 FROM talks WHERE cuts > 0 UNION ALL SELECT c, 'ignored', 1, 0 FROM talks UNION ALL SELECT c, 'error', 1, 0 FROM talks WHERE c % 3 = 0""", ("talks", "parted")),
+    "capture_statistics": (f"SELECT CAST(sum(frames + cuts + acks + {OPEN} + {NOISY} + 1 + CASE WHEN c % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS frames, CAST(0 AS BIGINT) AS cut_off, CAST({BASE_NS // SECOND} + min(c) AS BIGINT) AS first_s FROM talks", ("talks",)),
     "decode_headers": ("""SELECT c AS conv_id, CASE WHEN c % 8 = 3 THEN 'fd00::' || CASE WHEN c >= 65536 THEN format('{:x}', c // 65536) || ':' ELSE '' END || format('{:x}', c % 65536) ELSE concat('10.', c // 65536 % 256, '.', c // 256 % 256, '.', c % 256) END AS client, CAST(1 AS BIGINT) AS domains, c % 8 IN (2, 6, 7) AS tagged,
       20000 + c % 40000 AS client_port, '02:00:00:00:00:02' AS eth_src, CASE WHEN udp THEN 0 ELSE 2 END AS syns, CASE ending WHEN 'fin' THEN 2 ELSE 0 END AS fins, CASE ending WHEN 'reset' THEN 1 ELSE 0 END AS resets FROM talks""", ("talks",)),
     "frames_not_worth_decoding": ("SELECT c AS conv_id, CAST(2 AS BIGINT) AS frames FROM talks WHERE c % 5 = 0", ("talks",)),

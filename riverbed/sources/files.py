@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.decode import worth_decoding
+
 FRAMES = "frame_no long, ts_ns long, arrival_ns long, wire_len int, data binary, path string"
 
 # fixed values of the segment format
@@ -82,13 +84,21 @@ def _frames(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, FRAMES)
 
 
-def read_pcap(spark: SparkSession, path: str) -> DataFrame:
-    """Frames of capture files; a file is one task's work, so captures should be rotated (rotated_captures()).
+def read_pcap(spark: SparkSession, path: str, ports: list[int] | None = None) -> DataFrame:
+    """Frames of capture files, with ports only those that may belong to a service (no port: none, and nothing is read); a file is one task's work, so captures should be rotated (rotated_captures()).
 
     frame_no counts within the file. (arrival_ns, path, frame_no) is the order of arrival over all files: arrival_ns is the latest time up
     to a frame, so a file's frames stay in their order and files merge by time.
     """
-    return _frames(spark.read.format("binaryFile").load(path))
+    if ports == []:
+        return spark.createDataFrame([], FRAMES)
+    frames = _frames(spark.read.format("binaryFile").load(path))
+    return frames if ports is None else frames.where(worth_decoding(F.col("data"), ports))
+
+
+def capture_stats(frames: DataFrame) -> DataFrame:
+    """Frames, bytes on the wire, frames that were cut off, and the first and last time."""
+    return frames.agg(F.count("*").alias("frames"), F.sum("wire_len").cast("long").alias("bytes"), F.count_if(F.col("wire_len") > F.octet_length("data")).alias("cut_off"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"))
 
 
 def stream_pcap(spark: SparkSession, path: str, files_per_batch: int = 16) -> DataFrame:
