@@ -152,7 +152,6 @@ def test_workers_need_no_copy_of_the_package(tmp_path):
         spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").getOrCreate()
         sys.path.insert(0, {str(root)!r})
         import pyarrow as pa
-        import corpus_pipeline
         from riverbed.llm import registry
         from riverbed.plans import catalog
 
@@ -165,7 +164,6 @@ def test_workers_need_no_copy_of_the_package(tmp_path):
         assert spark.range(1).mapInArrow(absent, "absent boolean").first()[0]
         for name, query in registry.QUERIES.items():
             assert query(spark, {DATA!r}).count() >= 0, name
-        assert corpus_pipeline.run(spark, {DATA!r}).count() > 100
         for name in ("flows_from_frames", "http_bodies_parsed", "live_flows_closed", "scan_automaton"):
             assert catalog.QUERIES[name](spark, {DATA!r}).count() > 0, name
         print("all ran")
