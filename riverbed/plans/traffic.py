@@ -84,8 +84,9 @@ class Wire:
             self.frames += [MAC + b"\x08\x00" + other, MAC + struct.pack(">HHH", 0x88A8, 5, 0x0800) + other]
 
 
-def message(c: int, turn: int, up: bool, text: bytes) -> bytes:
-    """A turn as an HTTP message; a conversation's bodies have a length, come in chunks, or are compressed (not made smaller)."""
+def message(c: int, turn: int, up: bool, text: bytes, last: bool) -> bytes:
+    """A turn as an HTTP message; a conversation's bodies have a length, come in chunks, or are compressed (not made smaller). An answer in
+    the last turn of some goes on until the connection ends."""
     kind = "Content-Type: text/plain\r\n"
     head = f"POST /c/{c}/t/{turn} HTTP/1.1\r\nHost: h{c % 5}.example\r\nUser-Agent: agent/{c % 3}\r\n{kind}" if up else f"HTTP/1.1 200 OK\r\n{kind}"
     if c % 4 == 2:
@@ -93,6 +94,8 @@ def message(c: int, turn: int, up: bool, text: bytes) -> bytes:
         return head.encode() + b"Transfer-Encoding: chunked\r\n\r\n" + b"".join(b"%x\r\n%s\r\n" % (len(p), p) for p in parts) + b"0\r\n\r\n"
     if c % 4 == 3 and text:
         text, head = gzip.compress(text, 0, mtime=0), head + "Content-Encoding: gzip\r\n"
+    if c % 4 == 1 and last and not up:
+        return (head + "Connection: close\r\n\r\n").encode() + text
     return (head + f"Content-Length: {len(text)}\r\n\r\n").encode() + text
 
 
@@ -112,7 +115,7 @@ def conversation(c: int, turns: list[tuple[int, bool, bytes]], web: bool) -> lis
     at = {k: v + 1 for k, v in at.items()}
     w.tcp(True, at[True], at[False], ACK)
     for k, (turn, up, data) in enumerate(turns):
-        data = message(c, turn, up, data) if web else data
+        data = message(c, turn, up, data, k == len(turns) - 1) if web else data
         if not data:
             continue
         parts = [(at[up] + i, data[i : i + SEGMENT]) for i in range(0, len(data), SEGMENT)]
