@@ -21,8 +21,8 @@ from .spans import cut_out, spans_where
 #: What a value is assigned to, in front of a short candidate.
 ASSIGNED = r"(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key)[\"']?\s?[=:]\s?[\"']?"
 #: A whole private key block of any length (possessive, so that long ones take no stack), an unbroken run of 16 or more characters that keys
-#: are made of, with or without digits, or 6 to 15 characters that something secret is set to.
-CANDIDATE = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]++|-(?!----END [A-Z ]{0,20}PRIVATE KEY-----))*+-----END [A-Z ]{0,20}PRIVATE KEY-----|(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}+|(?<=" + ASSIGNED.replace(r"\s?", r"\s{0,1}") + r")[^\s\"'`,;<>(){}\[\]]{6,15}(?![^\s\"'`,;<>(){}\[\]])"
+#: are made of, with or without digits, or 6 to 15 characters that something secret is set to (the short look back rules most places out).
+CANDIDATE = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]++|-(?!----END [A-Z ]{0,20}PRIVATE KEY-----))*+-----END [A-Z ]{0,20}PRIVATE KEY-----|(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}+|(?<=[=:]|[=:][\"'\s]|[=:]\s[\"'])(?<=" + ASSIGNED.replace(r"\s?", r"\s{0,1}") + r")[^\s\"'`,;<>(){}\[\]]{6,15}(?![^\s\"'`,;<>(){}\[\]])"
 #: Words in front of a candidate that speak for a secret, and against one.
 FOR = r"(?i)(key|token|secret|passw|pwd|credential|auth|bearer|private|access|apikey)"
 AGAINST = r"(?i)(commit|sha-?(1|256|512)|md5|checksum|digest|hash|uuid|guid|version|revision|etag|integrity|isbn|serial|order|ticket|invoice|build)"
