@@ -369,10 +369,13 @@ def segments_listed(s, d):
 
 @query("spool_read_back", "SELECT 'flows' AS \"table\", count(*) AS rows, CAST(sum(bytes_c2s) AS BIGINT) AS total FROM flows UNION ALL SELECT 'matches', count(*), CAST(sum(offset_end) AS BIGINT) FROM matches UNION ALL SELECT 'http_messages', count(*), CAST(sum(ts_ns) AS BIGINT) FROM http_messages", "flows", "matches", "http_messages")
 def spool_read_back(s, d):
+    """Three rows, worked out at once. total is BIGINT, as in the SQL, where every total fits, else an exact DECIMAL(38,0): there the SQL only fails."""
     spool = files.spool_events({"flows": A.flows(s, d), "matches": A.matches(s, d), "http_messages": A.http_messages(s, d)}, 500)
     tables = files.demux(files.spooled(spool))
-    sums = [tables[t].agg(F.lit(t).alias("table"), F.count("*").alias("rows"), F.sum(c).alias("total")) for t, c in (("flows", "bytes_c2s"), ("matches", "offset_end"), ("http_messages", "ts_ns"))]
-    return sums[0].unionByName(sums[1]).unionByName(sums[2])
+    sums = [tables[t].agg(F.lit(t).alias("table"), F.count("*").alias("rows"), F.sum(F.col(c).cast("decimal(38,0)")).alias("total")) for t, c in (("flows", "bytes_c2s"), ("matches", "offset_end"), ("http_messages", "ts_ns"))]
+    found = sums[0].unionByName(sums[1]).unionByName(sums[2]).collect()
+    fits = all(r["total"] is None or -(2**63) <= r["total"] < 2**63 for r in found)
+    return A.literal(s, tuple(map(tuple, found)), f"table string, rows bigint, total {'bigint' if fits else 'decimal(38,0)'}")
 
 
 # --- frames ----------------------------------------------------------------------------------------------------------------------

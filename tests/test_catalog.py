@@ -40,3 +40,15 @@ def test_no_cartesian_products(spark):
     for name in ("flow_list_service_ua_contains", "matches_projected", "raw_suppressed", "rule_longest_prefix"):
         plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_spool_totals_beyond_bigint(spark, tmp_path):
+    spark.read.parquet(f"{DATA}/events.parquet").write.parquet(f"{tmp_path}/events.parquet")
+    pages = spark.createDataFrame([(5_000_000_000, "http://a/b", ""), (5_000_000_001, "http://a/c", "")], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    run = catalog.QUERIES["spool_read_back"]
+    rows = {r["table"]: (r["rows"], r["total"]) for r in run(spark, str(tmp_path)).collect()}
+    assert rows["http_messages"] == (2, 10_000_000_001_000_000_000) and rows["flows"][0] > 0
+    pages.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/pages.parquet")
+    empty = run(spark, str(tmp_path))
+    assert dict(empty.dtypes)["total"] == "bigint" and {r["table"]: r["total"] for r in empty.collect()} == {t: None if t == "http_messages" else int(n[1]) for t, n in rows.items()}
