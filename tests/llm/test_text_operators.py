@@ -87,6 +87,44 @@ def test_quality(spark, odd):
     assert quality.fit(described, docs.where("quality = 1").select("doc_id", "quality")) is None
 
 
+def test_quality_learns_from_every_pair(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    good = rng.random(240) < 0.7
+    x = np.round(rng.random((240, len(quality.FEATURES))) * np.where(good, 1, 0.8)[:, None], 2)
+    x[:, 3], x[5], x[6] = 0.5, x[4], x[4]
+    known = spark.createDataFrame([(bool(g), [float(v) for v in r]) for g, r in zip(good, x, strict=True)], "good boolean, features array<float>")
+    p = quality.Params(pairs=3000)
+    full = quality.expand(x.astype(np.float32).astype(np.float64))
+    scale = np.where(full.std(0) < 1e-9, 1, full.std(0))
+    z = (full - full.mean(0)) / scale
+    d = (z[good][:, None] - z[~good]).reshape(-1, z.shape[1])  # all pairs
+    weight, w = p.pairs / len(d), np.zeros(z.shape[1])
+    for _ in range(30):
+        chance = 1 / (1 + np.exp(-(d @ w)))
+        w -= np.linalg.solve(weight * (d * (chance * (1 - chance))[:, None]).T @ d + p.penalty * np.eye(len(w)), weight * d.T @ (chance - 1) + p.penalty * w)
+    for cut in (1, 7):
+        model = quality.fit_pairs(known.repartition(cut), p)
+        assert np.abs(model.weights - w).max() < 1e-3
+        raw = np.sort(z @ model.weights)
+        assert abs(model.threshold - raw[(~good).sum() - 1 : (~good).sum() + 1].mean()) < 1e-6 and abs(model.spread - raw.std() / 3) < 1e-6
+    low, high = quality.in_order(known, np.zeros(z.shape[1]), np.ones(z.shape[1]), np.eye(z.shape[1])[0], 100, cells=3)
+    assert [low, high] == [round(v, 9) for v in np.sort(full[:, 0])[99:101]]
+    alike = spark.createDataFrame([(k % 2 == 0, [0.5] * len(quality.FEATURES)) for k in range(6)], known.schema)
+    assert quality.fit_pairs(alike, p).threshold == 0 and quality.fit_pairs(known.limit(0), p) is None
+
+
+def test_quality_drops_no_label(spark):
+    from riverbed.llm.common import share
+
+    n = 30_000
+    only = spark.range(n).where(~share("id", 20_000 / n)).first()[0]  # a share of 20,000 rows has no bad one
+    described = spark.range(n).select(F.col("id").alias("doc_id"), F.array(*[(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(100)) / 100).cast("float") for k in range(len(quality.FEATURES))]).alias("features"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") != only).cast("int").alias("quality"))
+    assert quality.fit(described, labels, quality.Params(rounds=2)) is not None
+
+
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
