@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riverbed.llm import bpe, jaccard, langid, mixing, secret_scan
-from riverbed.llm.common import discard, fold, materialize, scratch, table
+from riverbed.llm.common import discard, fold, materialize, scratch, small_batches, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -21,9 +21,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     languages the first in the alphabet is taken.
     """
     docs = docs.select(*COLUMNS)
-    model = langid.fit(docs.where(fold("doc_id", 3) != 1))
-    found = langid.predict(docs, model, COLUMNS).where(~F.col("rejected"))
-    return found.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+    with small_batches(spark):  # they hold for what runs inside, so the result is written here
+        model = langid.fit(docs.where(fold("doc_id", 3) != 1))
+        found = langid.predict(docs, model, COLUMNS).where(~F.col("rejected"))
+        return materialize(found.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars"), "language")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +66,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of the text decoded from them; a null text counts as empty."""
-    return bpe.encode_documents(docs, keep=("doc_id", "lang", "source"), ids=True, digests=True)
+    with small_batches(spark):  # they hold for what runs inside, so the result is written here
+        return materialize(bpe.encode_documents(docs, keep=("doc_id", "lang", "source"), ids=True, digests=True), "tokens")
 
 
 STAGES = [("language ID", language_id), ("n-gram Jaccard join", near_copies), ("secret scans", secrets), ("mixing sources to target weights", mixture), ("BPE encoding and decoding", tokens)]
@@ -77,9 +79,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each one's result written and read again; a stage's input goes when its result is written."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        kept = materialize(stage(spark, docs, sf_dir), f"stage-{k}")
+    for k, (_, stage) in enumerate(STAGES):
+        made = stage(spark, docs, sf_dir)
+        kept = made if hasattr(made, "_written_to") else materialize(made, f"stage-{k}")
         if k:
             discard(docs)
         docs = kept
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return docs

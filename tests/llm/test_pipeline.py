@@ -65,3 +65,26 @@ def test_all_stages(spark, docs, tmp_path):
     out = P.run(spark, str(tmp_path))
     assert len(P.STAGES) == 5 and out.count() >= 70 and out.where(F.size("token_ids") != F.col("n_tokens")).count() == 0
     assert not {900, 901, 902, 903} & set(ids(out))
+
+
+def test_whole_texts_reach_python_in_small_batches(spark, docs, monkeypatch):
+    """Arrow batches of 10,000 long texts take an executor hundreds of MB: the stages that hand texts to Python keep batches small."""
+
+    def rows_of_batch(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            n = b.num_rows
+            yield pa.RecordBatch.from_pydict({"doc_id": [n], "text": [""], "lang_pred": ["en"], "source": [""], "n_chars": [n], "rejected": [False]}, schema=arrow)
+
+    import pyarrow as pa
+
+    arrow = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang_pred", pa.string()), ("source", pa.string()), ("n_chars", pa.int64()), ("rejected", pa.bool_())])
+    counted = lambda df, *_, **__: df.mapInArrow(rows_of_batch, "doc_id long, text string, lang_pred string, source string, n_chars long, rejected boolean")
+    monkeypatch.setattr(P.langid, "fit", lambda df: None)
+    monkeypatch.setattr(P.langid, "predict", counted)
+    monkeypatch.setattr(P.bpe, "encode_documents", counted)
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(10000).cast("long").alias("n_chars")).coalesce(1)
+    for stage in (P.language_id, P.tokens):
+        sizes = [r["n_chars"] for r in stage(spark, many, "").collect()]
+        assert sum(sizes) == 3000 and max(sizes) <= 1000 and max(sizes) * 10_000 <= 5 << 20, stage.__name__
